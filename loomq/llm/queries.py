@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, bytebpe, embeddings, minhash, mixing, quality, sharding, suffixdedup, tokencount
+from . import automaton, bytebpe, embeddings, html, minhash, mixing, quality, sharding, suffixdedup, tokencount
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html.main_texts(spark, table(spark, sf_dir, "pages"))
+    return made.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +67,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op10_minhash_near_dedup, op5_substring_dedup, op6_suffix_array_dedup, op3_token_counts, op4_quality_rules, op7_hilbert_shards, op8_source_mix, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_html_text, op10_minhash_near_dedup, op5_substring_dedup, op6_suffix_array_dedup, op3_token_counts, op4_quality_rules, op7_hilbert_shards, op8_source_mix, op9_byte_bpe)}
 
 
 OP4_SQL = r"""
