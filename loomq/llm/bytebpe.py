@@ -136,28 +136,19 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, each, made: str) -> Dat
     return rows.mapInArrow(run, f"id {kind}, {made}").withColumnRenamed("id", id_col)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): the ids of every text."""
-
-    def each(ids, texts):
-        lists = codec(path, pattern).encode_column(texts)
-        n = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-        made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), made], names=["id", "n_tokens", "ids"])
-
-    return _mapped(docs, id_col, text_col, each, "n_tokens long, ids array<int>")
-
-
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every text, and the ids themselves if asked for."""
 
     def each(ids, texts):
         c = codec(path, pattern)
         lists = c.encode_column(texts)
-        n = [len(x) for x in lists]
+        n = np.array([len(x) for x in lists], np.int64)
         of_ids = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]
         of_bytes = [hashlib.sha256(c.decode_bytes(x)).hexdigest() for x in lists]
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        out = {"id": ids, "n_tokens": pa.array(n), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}
+        if with_ids:
+            flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
+        return pa.RecordBatch.from_pydict(out)
 
-    return _mapped(docs, id_col, text_col, each, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, id_col, text_col, each, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -39,7 +39,7 @@ from .runs import runs
 from .scratch import Scratch
 
 SHINGLE, BANDS, ROWS, BLOCK = 5, 25, 5, 64
-SIGNED = "id long, k1 long, k2 long, bands array<long>, sketch binary"
+SIGNED = "id long, k1 long, k2 long, bands array<long>, sketch binary, key long"
 
 
 def weighted(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = np.diff(first) == 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
             sketch = pa.array([x.tobytes() for x in regs.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1, mask=none), pa.array(k2, mask=none), lists, sketch], names=["id", "k1", "k2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1, mask=none), pa.array(k2, mask=none), lists, sketch, batch.column(2).slice(i, j - i)], names=["id", "k1", "k2", "bands", "sketch", "key"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,11 +152,11 @@ def _blocks(least: int):
     return run
 
 
-def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (the smallest id of the component) and kept of every row."""
+def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """id, class_id (the smallest id of the component) and kept of every row; with_key adds a hash of the text."""
     tmp = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = tmp.save(texts.mapInArrow(_sign, SIGNED), "signed")
+    signed = tmp.save(texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(_sign, SIGNED), "signed")
     first = F.min_by(F.struct("bands", "sketch"), "id")
     classes = signed.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), first.alias("s"))
     classes = tmp.save(classes.select("k1", "k2", "rep", "s.bands", "s.sketch"), "classes")
@@ -188,6 +188,20 @@ def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8,
     more = verified(close, "rest")
     comp = components(tmp, comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all")
     roots = tmp.save(classes.select("k1", "k2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id")), "roots")
-    out = signed.select("id", "k1", "k2").join(roots, ["k1", "k2"], "left")
+    out = signed.select("id", "k1", "k2", "key").join(roots, ["k1", "k2"], "left")
     own = F.coalesce("class_id", "id")
-    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    made = out.select(F.col("id").alias(id_col), own.alias("class_id"), F.col("id").eqNullSafe(own).alias("kept"), "key")
+    return made if with_key else made.drop("key")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """docs with one row of each group: the one of the smallest id.
+
+    Rows that equal in all columns are one. Rows of one id with differing texts are judged
+    by the words of each: a row stays if its own words' class has its id.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    marked = near_documents(spark, docs, id_col=id_col, text_col=text_col, with_key=True, **more).where("kept").select(F.col(id_col).alias("x"), F.col("key").alias("y")).distinct()
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    kept = keyed.join(marked, F.col("id").eqNullSafe(F.col("x")) & (F.col("key") == F.col("y")), "left_semi")
+    return kept.select("doc.*").dropDuplicates()

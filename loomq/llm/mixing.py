@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quality import SPACE
+from .quality import SPACE, SYMBOLS
 from .scratch import Scratch
 
 BUCKETS = 1024
@@ -57,51 +57,42 @@ def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ..
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(spark, docs: DataFrame, quality: Column | None = None, id_cols: tuple[str, ...] = ("doc_id",), most: int = 3, seed: int = 0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """id columns, source, size, source_size, target, taken (words) and copies of every row.
+def mix(spark, docs: DataFrame, size: Column, quality: Column | None = None, id_col: str = "doc_id", source_col: str = "source", most: int = 3, seed: int = 0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
+    """doc (a struct of the row's columns), size, source_size, target, taken (words) and copies of every row.
 
-    docs needs the id columns, source and size; quality is a positive weight over docs.
+    size and quality (a positive weight) are expressions over docs. docs is read twice: once
+    for the words of each bucket, once to number its rows within their buckets.
     """
     tmp = Scratch(spark, "mix")
     weight = F.greatest(F.coalesce(quality, F.lit(1.0)), F.lit(1e-6)) if quality is not None else F.lit(1.0)
-    key = -F.log(uniform(*(F.col(c) for c in id_cols), seed=seed)) / weight
-    rows = docs.select(*id_cols, "source", "size", key.alias("__key")).withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    rows = tmp.save(rows, "rows")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (-F.log(uniform(F.col(id_col), seed=seed)) / weight).alias("key"))
+    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     # At most BUCKETS rows a source.
-    buckets = tmp.save(rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__words")), "buckets")
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("__words").alias("source_size")), float(most), weights)
-    before = F.coalesce(F.sum("__words").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    b = buckets.withColumn("__before", before).alias("b")
-    b = b.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-    b = b.select(F.col("b.source").alias("__s"), F.col("__bucket").alias("__b"), "__before", "source_size", "target")
-    order = Window.partitionBy("source", "__bucket").orderBy("__key", *id_cols, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__within", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    joined = placed.join(b, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    buckets = tmp.save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), float(most), weights)
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
+    t = targets.select(F.col("source").alias("ts"), "source_size", "target")
+    plan = tmp.save(plan.join(t, F.col("s").eqNullSafe(F.col("ts"))).drop("ts"), "plan")
+    order = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long")
-    rest = F.when(F.col("source_size") > 0, F.col("target") - F.col("__epochs") * F.col("source_size")).otherwise(F.lit(0.0))
-    more = (F.col("__epochs") < most) & (F.col("size") > 0) & (F.col("__before") + F.col("__within") + F.col("size") / 2 <= F.col("__rest"))
-    out = joined.withColumn("__epochs", epochs).withColumn("__rest", rest)
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("__epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
-    return out.select(*id_cols, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    rest = F.col("target") - F.col("epochs") * F.col("source_size")
+    more = (F.col("epochs") < most) & (F.col("before") + F.col("within") + F.col("size") / 2 <= F.col("rest"))
+    out = joined.withColumn("epochs", epochs).withColumn("rest", rest)
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
+    return out.select("doc", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed(spark, docs: DataFrame, quality: Column | None = None, **more) -> DataFrame:
-    """The mix itself: each row of docs (doc_id, text, source and any others) as often as the mix takes it."""
-    counts = mix(spark, docs.withColumn("size", word_count(F.col("text"))), quality, ("doc_id",), **more)
-    # Rows of equal doc_id are told apart by nothing else, so they are joined by their rank.
-    once = counts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("__of"))
-    own = Window.partitionBy("doc_id").orderBy("source", word_count(F.col("text")))
-    ranked = docs.withColumn("__i", F.row_number().over(own)).join(once, "doc_id")
-    return ranked.withColumn("__n", F.get(F.col("__of"), F.col("__i") - 1)["copies"]).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+def mixed(spark, docs: DataFrame, text_col: str = "text", quality: Column | None = None, **more) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it."""
+    made = mix(spark, docs, word_count(F.col(text_col)), quality, **more).where("copies > 0")
+    return made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
-def quality_inputs() -> list[Column]:
-    """What :func:`quality_weight` needs, of a documents table."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.length(text).alias("__chars"), F.length(F.translate(text, "#*$%&|<>", "")).alias("__plain")]
-
-
-def quality_weight() -> Column:
-    """From 0.1 to 1: the squared share of characters that are no markup symbols."""
-    share = F.when(F.col("__chars") > 0, F.col("__plain") / F.col("__chars")).otherwise(F.lit(1.0))
+def quality_weight(text: Column) -> Column:
+    """From 0.1 to 1: the squared share of a text's characters that are no markup symbols."""
+    body = F.coalesce(text, F.lit(""))
+    share = F.when(F.length(body) > 0, F.length(F.translate(body, SYMBOLS, "")) / F.length(body)).otherwise(F.lit(1.0))
     return F.greatest(share * share, F.lit(0.1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import automaton, bytebpe, embeddings, html, minhash, mixing, quality, sharding, suffixdedup, tokencount
+from .scratch import Scratch
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -52,8 +53,11 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), *mixing.quality_inputs())
-    return mixing.mix(spark, docs, mixing.quality_weight()).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.quality_weight(F.col("text")).alias("quality"))
+    narrow = Scratch(spark, "mix-sizes").save(narrow, "documents")
+    made = mixing.mix(spark, narrow, F.col("size"), F.col("quality"))
+    return made.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
