@@ -7,6 +7,8 @@ import pyarrow as pa
 
 #: Bytes of text that one call to a tokenizer takes at most, if no single piece is longer.
 BATCH_BYTES = 1 << 22
+#: The same where every byte needs several 64-bit numbers.
+HASH_BYTES = 1 << 20
 
 
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:

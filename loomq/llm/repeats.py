@@ -25,7 +25,7 @@ from .scratch import Scratch
 
 HOT = 4096
 #: Symbols of segments that are decided together, if no single group has more.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SEGMENT = "h long, k1 long, rep long, start long, content binary"
 
 
@@ -89,7 +89,7 @@ def _scan(kind: Kind):
                 continue
             keys, col = keys[new], batch.column(1).filter(pa.array(new))
             offsets, raw = arrowtext.buffers(col)
-            for i, j in arrowtext.slices(offsets):
+            for i, j in arrowtext.slices(offsets, arrowtext.HASH_BYTES):
                 values, first = symbols(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], kind)
                 found = anchors(values, wordhash.prefix_hash(values), first, kind)
                 k1, at = keys[i:j][found.text], found.at - first[found.text]
@@ -140,7 +140,7 @@ def _around(kind: Kind, hot: bool):
             wanted = lists.flatten()
             hs, hots = np.asarray(wanted.field(0)), np.asarray(wanted.field(1))
             ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
-            for i, j in arrowtext.slices(offsets):
+            for i, j in arrowtext.slices(offsets, arrowtext.HASH_BYTES):
                 values, first = symbols(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], kind)
                 prefix = wordhash.prefix_hash(values)
                 found = anchors(values, prefix, first, kind)
@@ -198,7 +198,7 @@ def _groups(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[Segments]
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, 512)
+            part = batch.slice(at, 256)
             at += part.num_rows
             if size >= CHUNK:
                 h, last = np.asarray(part.column(0)), held[-1].column(0)[-1].as_py()

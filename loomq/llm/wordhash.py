@@ -18,7 +18,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd base below n, and those of its inverse, modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, arrowtext.BATCH_BYTES + 1)
+        size = max(n, arrowtext.HASH_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
