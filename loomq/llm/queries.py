@@ -105,6 +105,46 @@ FROM j
 
 
 
+OP1_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+c AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.y AS component_id, v.vec_id = c.y AS kept
+FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 11, 1))) AS t(i) WHERE len(ws) >= 13),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+r AS (SELECT DISTINCT doc_id, p FROM (SELECT w.doc_id, unnest(range(w.i, w.i + 13)) AS p FROM w JOIN m ON w.g = m.g WHERE m.least < w.doc_id)),
+x AS (SELECT doc_id, i, ws[i] AS word FROM d, unnest(range(1, len(ws) + 1)) AS t(i)),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN r ON x.doc_id = r.doc_id AND x.i = r.p GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substring(h, CAST(2 * i - 1 AS BIGINT), 400)) AS k FROM d, unnest(range(1, greatest(n - 198, 1))) AS t(i) WHERE n >= 200),
+dup AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM dup),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+sp AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS from_ FROM sp),
+k AS (
+  SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(substring(d.h, CAST(2 * from_ - 1 AS BIGINT), CAST(2 * (a - from_) AS BIGINT)), '' ORDER BY a) || substring(any_value(d.h), CAST(2 * max(b) - 1 AS BIGINT)) AS kept
+  FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
+    """Queries by other means than SQL's are tested against brute force instead."""
     stops = ", ".join(f"'{x}'" for x in sorted({y for s in quality.STOP_WORDS for y in (s, s.capitalize())}))
-    return {"op4_quality_rules": OP4_SQL.replace("{stops}", stops)}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL.replace("{stops}", stops), "op5_substring_dedup": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL}
