@@ -14,8 +14,9 @@ and linked pairs are united.
 
 Texts with equal word sequences are one class and only its smallest id is signed into
 bands. Within a bucket, every class is first compared with the smallest one. Buckets that
-still hold several components are compared in blocks of BLOCK members of which only pairs
-with signatures near enough leave the task, so no link is lost and no bucket is expanded.
+still hold several components are dealt in blocks of BLOCK members; those outside the
+main component visit all blocks, and only pairs of different components with signatures
+near enough leave the task. So no link is lost and no bucket is expanded into its pairs.
 
 Defined results: null texts and texts without words have no shingles, link with nothing
 and are classes of their own, by their id; a row with a null id takes the class of its words
@@ -38,7 +39,7 @@ from .components import components
 from .runs import runs
 from .scratch import Scratch
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 25, 5, 64
+SHINGLE, BANDS, ROWS, BLOCK = 5, 25, 5, 256
 SIGNED = "id long, k1 long, k2 long, bands array<long>, sketch binary, key long"
 
 
@@ -136,18 +137,19 @@ def _verify(threshold: float):
 
 
 def _blocks(least: int):
+    """Pairs of different components with near signatures; one of each stands in its own block, and is not both of the bucket's main one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["bucket", "i", "j"]):
-            own, ids, comp = np.asarray(t["own"]), np.asarray(t["id"]), np.asarray(t["comp"])
+        for t in runs(batches, ["bucket", "block"]):
+            ids, comp = np.asarray(t["id"]), np.asarray(t["comp"])
+            home, main = np.asarray(t["home"]), np.asarray(t["main"])
             s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            close = np.zeros((len(a), len(b)), bool)
-            for x, row in enumerate(a):
-                close[x] = ((s[row] == s[b]).sum(1) >= least) & (comp[row] != comp[b]) & ((ids[row] < ids[b]) if i == j else True)
-            x, y = np.nonzero(close)
-            p, q = ids[a[x]], ids[b[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            at_home = np.flatnonzero(home)
+            found: list[tuple[int, int]] = []
+            for x in np.flatnonzero(~main):
+                near = at_home[((s[x] == s[at_home]).sum(1) >= least) & (comp[x] != comp[at_home])]
+                found += [(min(ids[x], y), max(ids[x], y)) for y in ids[near].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return run
 
@@ -177,14 +179,15 @@ def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8,
     comp = components(tmp, links, "first")
     # Buckets that still hold several components, in blocks.
     marked = dealt.join(comp, dealt["rep"] == comp["node"], "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("comp"))
-    split = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    split = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "lo")
     rest = marked.join(split, "bucket").join(classes.select("rep", "sketch"), "rep")
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").alias("id"), "comp", "sketch")
+    # Members of the main component stay in their block; the others visit all blocks of the bucket.
+    rest = rest.withColumn("main", F.col("comp") == F.col("lo")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    visits = F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = rest.withColumn("block", F.explode(visits)).select("bucket", "block", F.col("rep").alias("id"), "comp", (F.col("own") == F.col("block")).alias("home"), "main", "sketch")
     k = BANDS * ROWS
     least = int(k * threshold - 4.2 * (k * threshold * (1 - threshold)) ** 0.5)
-    close = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(least), "a long, b long")
+    close = rest.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_blocks(least), "a long, b long")
     more = verified(close, "rest")
     comp = components(tmp, comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all")
     roots = tmp.save(classes.select("k1", "k2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id")), "roots")
