@@ -121,11 +121,12 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
         for seg, a in places:
             hit = at[owner < s.rep[seg]]
             if len(hit):
-                shift = int(s.start[seg] + a - s.first[seg])
                 heads = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
                 tails = np.append(heads[1:], len(hit)) - 1
-                for x, y in zip(hit[heads].tolist(), hit[tails].tolist(), strict=True):
-                    yield int(s.k1[seg]), shift + x, shift + y
+                for start in s.starts[seg]:
+                    shift = int(start + a - s.first[seg])
+                    for x, y in zip(hit[heads].tolist(), hit[tails].tolist(), strict=True):
+                        yield int(s.k1[seg]), shift + x, shift + y
 
 
 def remove_repeated_words(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 5, **more) -> DataFrame:

@@ -6,8 +6,9 @@ Anchors that occur at one place only are dropped; around the others, each text g
 segment for the windows that share that anchor, and segments meet by anchor. What decides
 within a group of segments is the caller's: suffix arrays or suffix automata.
 
-Anchors at more than HOT places are not grouped: their windows are counted by 128 bits of
-hash, with map-side aggregation, so no task holds the segments of a very common passage.
+What a text repeats within itself counts once, with all its places. Anchors of more than
+HOT texts are not grouped: their windows are counted by 128 bits of hash, with map-side
+aggregation, so no task holds the segments of a very common passage.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from . import arrowtext, wordhash
 from .scratch import Scratch
 
-HOT = 4096
+HOT = 8192
 #: Symbols of segments that are decided together, if no single group has more.
 CHUNK = 1 << 18
-SEGMENT = "h long, k1 long, rep long, start long, content binary"
+SEGMENT = "h long, k1 long, rep long, starts array<long>, content binary"
 
 
 class Kind(NamedTuple):
@@ -78,7 +79,8 @@ def anchors(values: np.ndarray, prefix: np.ndarray, first: np.ndarray, kind: Kin
 
 
 def _scan(kind: Kind):
-    """(h, k1, at) of every anchor; texts seen before in the task are left out, as are anchors met before in a text if words."""
+    """(h, k1, at) of anchors: of each text its anchors once, or twice if its own repeats count. Texts seen before in the task are left out."""
+    most = 1 if kind.earlier else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -92,15 +94,12 @@ def _scan(kind: Kind):
             for i, j in arrowtext.slices(offsets, arrowtext.HASH_BYTES):
                 values, first = symbols(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], kind)
                 found = anchors(values, wordhash.prefix_hash(values), first, kind)
-                k1, at = keys[i:j][found.text], found.at - first[found.text]
-                h = found.h
-                if kind.earlier:
-                    at = np.zeros(len(h), np.int64)
-                    order = np.lexsort((h, found.text))
-                    keep = np.ones(len(h), bool)
-                    keep[1:] = (h[order][1:] != h[order][:-1]) | (found.text[order][1:] != found.text[order][:-1])
-                    h, k1, at = h[order][keep], k1[order][keep], at[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k1), pa.array(at)], names=["h", "k1", "at"])
+                order = np.lexsort((found.at, found.h, found.text))
+                h, text, at = found.h[order], found.text[order], found.at[order] - first[found.text[order]]
+                keep = np.ones(len(h), bool)
+                keep[most:] = (h[most:] != h[:-most]) | (text[most:] != text[:-most])
+                at = np.zeros(len(h), np.int64) if kind.earlier else at
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(keys[i:j][text[keep]]), pa.array(at[keep])], names=["h", "k1", "at"])
 
     return run
 
@@ -151,17 +150,26 @@ def _around(kind: Kind, hot: bool):
                     a, b = bounds[t], bounds[t + 1]
                     keep[a:b] = np.isin(found.h[a:b], hs[own][hots[own] == hot])
                 found = Windows(*(x[keep] for x in found))
-                k1, rep, start = k1s[i:j][found.text], reps[i:j][found.text], found.lo - first[found.text]
+                starts = found.lo - first[found.text]
                 if hot:
                     n = found.hi - found.lo + 1
                     at = arrowtext.ragged(found.lo, n)
                     h = wordhash.span_hash(prefix, at, at + kind.width)
-                    start = at - np.repeat(first[found.text], n)
-                    yield pa.RecordBatch.from_arrays([pa.array(wordhash.mix(h, s).view(np.int64)) for s in (5, 6)] + [pa.array(np.repeat(x, n)) for x in (k1, rep)] + [pa.array(start)], names=["w1", "w2", "k1", "rep", "start"])
+                    text = np.repeat(found.text, n)
+                    order = np.lexsort((at, h, text))
+                    h, text, at = h[order], text[order], at[order] - first[text[order]]
+                    head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]))))[: len(h)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(h)).astype(np.int32)), pa.array(at))
+                    columns = [pa.array(wordhash.mix(h[head], x).view(np.int64)) for x in (5, 6)] + [pa.array(k1s[i:j][text[head]]), pa.array(reps[i:j][text[head]]), lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "k1", "rep", "starts"])
                     continue
                 item = values.astype("<u8") if kind.words else raw[offsets[i] : offsets[j]]
-                content = pa.array([item[a : b + kind.width].tobytes() for a, b in zip(found.lo.tolist(), found.hi.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(found.h), pa.array(k1), pa.array(rep), pa.array(start), content], names=["h", "k1", "rep", "start", "content"])
+                met: dict[tuple[int, int, bytes], list[int]] = {}
+                for t, h, a, b, start in zip(found.text.tolist(), found.h.tolist(), found.lo.tolist(), found.hi.tolist(), starts.tolist(), strict=True):
+                    met.setdefault((t, h, item[a : b + kind.width].tobytes()), []).append(start)
+                text = np.array([k[0] for k in met], np.int64)
+                columns = [pa.array([k[1] for k in met], pa.int64()), pa.array(k1s[i:j][text]), pa.array(reps[i:j][text]), pa.array(list(met.values()), pa.list_(pa.int64())), pa.array([k[2] for k in met], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "k1", "rep", "starts", "content"])
 
     return run
 
@@ -172,23 +180,24 @@ class Segments(NamedTuple):
     h: np.ndarray
     k1: np.ndarray
     rep: np.ndarray
-    start: np.ndarray
+    starts: list[list[int]]
     first: np.ndarray
     items: np.ndarray
     values: np.ndarray
 
 
 def _segments(table: pa.Table, kind: Kind) -> Segments:
-    h, k1, rep, start = (np.asarray(table[c].combine_chunks()) for c in ("h", "k1", "rep", "start"))
-    order = np.lexsort((start, k1, h))  # repeated rows of a document give a segment twice
+    h, k1, rep = (np.asarray(table[c].combine_chunks()) for c in ("h", "k1", "rep"))
+    starts = table["starts"].to_pylist()
+    order = np.lexsort((np.array([x[0] for x in starts], np.int64), k1, h))  # repeated rows of a document give a segment twice
     new = np.ones(len(order), bool)
     a, b = order[1:], order[:-1]
-    new[1:] = (h[a] != h[b]) | (k1[a] != k1[b]) | (start[a] != start[b])
+    new[1:] = (h[a] != h[b]) | (k1[a] != k1[b]) | np.array([starts[x][0] != starts[y][0] for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
     order = order[new]
     contents = table["content"].combine_chunks().take(pa.array(order)).to_pylist()
     items = np.frombuffer(b"".join(contents), "<u8" if kind.words else np.uint8)
     sizes = np.array([len(c) for c in contents], np.int64) // items.itemsize
-    return Segments(h[order], k1[order], rep[order], start[order], np.concatenate(([0], np.cumsum(sizes))), items, items if kind.words else wordhash._BYTE[items])
+    return Segments(h[order], k1[order], rep[order], [starts[x] for x in order.tolist()], np.concatenate(([0], np.cumsum(sizes))), items, items if kind.words else wordhash._BYTE[items])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[Segments]:
@@ -314,13 +323,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, kind: Kind, decide: Dec
 
     segments = suspects.mapInArrow(_around(kind, False), SEGMENT).repartition("h").sortWithinPartitions("h")
     ranges = segments.mapInArrow(_decided(decide, kind), "k1 long, lo long, hi long")
-    singles = tmp.save(suspects.mapInArrow(_around(kind, True), "w1 long, w2 long, k1 long, rep long, start long").distinct(), "singles")
-    place = F.struct("k1", "start")
-    counts = singles.groupBy("w1", "w2").agg(F.min("rep").alias("least"), F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w1", "w2", "least")
+    singles = tmp.save(suspects.mapInArrow(_around(kind, True), "w1 long, w2 long, k1 long, rep long, starts array<long>").distinct(), "singles")
+    counts = singles.groupBy("w1", "w2").agg(F.min("rep").alias("least"), F.sum(F.size("starts")).alias("places")).where("places > 1").select("w1", "w2", "least")
     common = singles.join(counts, ["w1", "w2"])
     if kind.earlier:
         common = common.where(F.col("rep") > F.col("least"))
-    ranges = ranges.union(common.select("k1", "start", "start"))
+    ranges = ranges.union(common.select("k1", F.explode("starts").alias("lo")).select("k1", "lo", "lo"))
     ranges = tmp.save(ranges.groupBy("k1").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     tmp.drop("suspects")
 

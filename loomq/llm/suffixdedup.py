@@ -29,7 +29,7 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
     w = window_keys(s, kind)
     order = np.argsort(w.key, kind="stable")
     equal = w.key[order][1:] == w.key[order][:-1]
-    twice = np.zeros(len(order), bool)
+    twice = np.array([len(x) > 1 for x in s.starts], bool)[w.seg]
     twice[order[1:][equal]] = True
     twice[order[:-1][equal]] = True
     # Distinct contents of each group, with the segments and places where they stand.
@@ -44,11 +44,12 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
     chosen[w.at[twice]] = True
     for contents in by_group.values():
         for content, places in contents.items():
-            if len(places) > 1:
+            if len(places) > 1 or len(s.starts[places[0][0]]) > 1:
                 n = len(content) - kind.width
                 for seg, a in places:
-                    lo = int(s.start[seg] + a - s.first[seg])
-                    yield int(s.k1[seg]), lo, lo + n
+                    for start in s.starts[seg]:
+                        lo = int(start + a - s.first[seg])
+                        yield int(s.k1[seg]), lo, lo + n
         if len(contents) > 1:
             for content, places in contents.items():
                 a = places[0][1]
@@ -65,10 +66,10 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
         hit = own[again[at : at + len(own)]] - base
         at += len(own)
         base += len(content) + 1
-        if len(places) > 1 or not len(hit):
-            continue
         seg, a = places[0]
-        shift = int(s.start[seg] + a - s.first[seg])
+        if len(places) > 1 or len(s.starts[seg]) > 1 or not len(hit):
+            continue
+        shift = int(s.starts[seg][0] + a - s.first[seg])
         head = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
         tail = np.append(head[1:], len(hit)) - 1
         for x, y in zip(hit[head].tolist(), hit[tail].tolist(), strict=True):
