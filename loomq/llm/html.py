@@ -36,7 +36,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden", re.I)
 WORD = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -157,7 +158,7 @@ class Page:
             if tag in ("html", "body", "main") or around[i]:
                 continue
             out[i] = tag in DROPPED or tag == "header" and not inside[i]
-            if attrs and not out[i]:
+            if attrs and not out[i] and TELLING.search(attrs):
                 for name, *values in ATTRIBUTE.findall(attrs):
                     value, name = "".join(values).lower(), name.lower()
                     if name == "role":
@@ -165,7 +166,12 @@ class Page:
                     elif name == "hidden" or name == "aria-hidden" and value == "true":
                         out[i] = True
                     elif name in ("class", "id"):
-                        out[i] |= not DROPPED_WORDS.isdisjoint(w for w in WORD.split(value) if tag != "article" or w.startswith(("comment", "repl")))
+                        own = set(WORD.split(value)) & DROPPED_WORDS
+                        if tag == "article":
+                            own = {w for w in own if w.startswith(("comment", "repl"))}
+                        elif inside[i]:  # an article's own head holds its title
+                            own -= {"header", "masthead"}
+                        out[i] |= bool(own)
         return out
 
     def _scope(self, marked: list[bool]) -> tuple[list[bool], str]:

@@ -27,6 +27,12 @@ def test_odd_markup():
         assert Page(source).text() == text, source
 
 
+def test_attributes():
+    page = """<article><div class="post-header"><h1>T</h1></div><p>a <a href="/hidden/class=ad?id=ads">b</a> <i data-role="form" data-id="ad">c</i></p>
+    <p hidden>no</p><p aria-hidden="true">no</p><p id=ad>no</p><p CLASS='x share'>no</p><p title="class='ad'">d</p><p class="shadow admin">e</p></article>"""
+    assert Page(page).text() == "T\na b c\nd\ne"
+
+
 def test_template(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("host", T.StringType())])
     box = "<div><p>Shared box</p></div>"
