@@ -15,8 +15,9 @@ and linked pairs are united.
 Texts with equal word sequences are one class and only its smallest id is signed into
 bands. Within a bucket, every class is first compared with the smallest one. Buckets that
 still hold several components are dealt in blocks of BLOCK members; those outside the
-main component visit all blocks, and only pairs of different components with signatures
-near enough leave the task. So no link is lost and no bucket is expanded into its pairs.
+main component visit all blocks, and pairs of different components with signatures near
+enough are verified there. Only links leave the task, so none is lost and no bucket is
+expanded into its pairs.
 
 Defined results: null texts and texts without words have no shingles, link with nothing
 and are classes of their own, by their id; a row with a null id takes the class of its words
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 
 from . import arrowtext, wordhash
 from .components import components
-from .runs import runs
+from .runs import Forest, runs
 from .scratch import Scratch
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 25, 5, 256
+SHINGLE, BANDS, ROWS, BLOCK, VISITORS = 5, 25, 5, 256, 32
 SIGNED = "id long, k1 long, k2 long, bands array<long>, sketch binary, key long"
 
 
@@ -136,19 +137,69 @@ def _verify(threshold: float):
     return run
 
 
-def _blocks(least: int):
-    """Pairs of different components with near signatures; one of each stands in its own block, and is not both of the bucket's main one."""
+def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each of a shares with each of b, by products of 0/1 matrices over the shingles that occur twice."""
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    again = count > 1
+    column = np.cumsum(again) - 1
+    use = again[place]
+    row, column = row[use], column[place[use]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(again.sum()), columns):
+        some = (column >= start) & (column < start + columns)
+        m = np.zeros((len(a) + len(b), min(columns, int(again.sum()) - start)), np.float32)
+        m[row[some], column[some] - start] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _blocks(threshold: float, least: int):
+    """Links between texts of different components: a text in its own block, and one outside the bucket's main component.
+
+    Texts without repeated shingles are compared by the ordinary Jaccard, all of a block at
+    once; for others, a pair is compared in the first bucket that it shares. Pairs whose
+    components something found in the block has joined are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["bucket", "block"]):
+        cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        kept = 0
+        for t in runs(batches, ["bucket", "block", "part"]):
             ids, comp = np.asarray(t["id"]), np.asarray(t["comp"])
             home, main = np.asarray(t["home"]), np.asarray(t["main"])
-            s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            at_home = np.flatnonzero(home)
-            found: list[tuple[int, int]] = []
-            for x in np.flatnonzero(~main):
-                near = at_home[((s[x] == s[at_home]).sum(1) >= least) & (comp[x] != comp[at_home])]
-                found += [(min(ids[x], y), max(ids[x], y)) for y in ids[near].tolist()]
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(len(ids), -1)
+            band = int(np.argmax(bands[0] == t["bucket"][0].as_py()))
+            sets = []
+            for text in t["text"].to_pylist():
+                if (one := cache.get(text)) is None:
+                    if kept > 1 << 22:
+                        cache, kept = {}, 0
+                    one = cache[text] = shingles_of(text)
+                    kept += len(one[0]) + len(text) // 8
+                sets.append(one)
+            size = np.array([len(x) for x, _ in sets], np.float32)
+            simple = np.array([bool((c == 1).all()) for _, c in sets], bool)
+            rows, joined, found = np.flatnonzero(home), Forest(), []
+            visitors = np.flatnonzero(~main)
+            for v in range(0, len(visitors), BLOCK):
+                own = visitors[v : v + BLOCK]
+                both = intersections([sets[i][0] for i in own], [sets[i][0] for i in rows])
+                apart = comp[own][:, None] != comp[rows][None, :]
+                plain = simple[own][:, None] & simple[rows][None, :]
+                near = plain & apart & (both >= np.float32(threshold) * (size[own][:, None] + size[rows][None, :] - both) - 1e-3)
+                near |= ~plain & apart & (both > 0)
+                for i, j in np.argwhere(near).tolist():
+                    x, y = own[i], rows[j]
+                    if joined.find(int(comp[x])) == joined.find(int(comp[y])):
+                        continue
+                    if not plain[i, j] and ((bands[x, :band] == bands[y, :band]).any() or (sketch[x] == sketch[y]).sum() < least):
+                        continue
+                    if similarity(sets[x], sets[y]) >= threshold:
+                        found.append((int(ids[x]), int(ids[y])))
+                        joined.union(int(comp[x]), int(comp[y]))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return run
@@ -166,11 +217,15 @@ def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8,
     shared = inside.groupBy("bucket").agg(F.min("rep").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = tmp.save(inside.join(shared, "bucket"), "dealt")
 
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """The texts of some ids; shuffled at every size, so that plans and disk grow in proportion."""
+        return tmp.save(texts.join(ids.hint("merge"), "id", "left_semi"), f"texts_{name}")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = tmp.save(pairs.distinct(), f"pairs_{name}")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        own = tmp.save(texts.join(ids, "id", "left_semi"), f"texts_{name}")
-        sides = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        own = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), name)
+        right, left = own.select(F.col("id").alias("b"), F.col("text").alias("tb")), own.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+        sides = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
         links = tmp.save(sides.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), f"links_{name}")
         tmp.drop(f"texts_{name}")
         return links
@@ -180,15 +235,22 @@ def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8,
     # Buckets that still hold several components, in blocks.
     marked = dealt.join(comp, dealt["rep"] == comp["node"], "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("comp"))
     split = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "lo")
-    rest = marked.join(split, "bucket").join(classes.select("rep", "sketch"), "rep")
+    rest = marked.join(split, "bucket").join(classes.select("rep", "sketch", "bands"), "rep")
     # Members of the main component stay in their block; the others visit all blocks of the bucket.
     rest = rest.withColumn("main", F.col("comp") == F.col("lo")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rest = tmp.save(rest, "rest")
+    own = texts_of(rest.select(F.col("rep").alias("id")).distinct(), "rest")
     visits = F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = rest.withColumn("block", F.explode(visits)).select("bucket", "block", F.col("rep").alias("id"), "comp", (F.col("own") == F.col("block")).alias("home"), "main", "sketch")
+    rest = rest.withColumn("block", F.explode(visits)).withColumn("home", F.col("own") == F.col("block"))
+    # Beyond VISITORS blocks, those who visit are dealt in parts, each of which meets the whole block.
+    parts = F.ceil(F.col("blocks") / VISITORS)
+    part = F.pmod(F.xxhash64(F.lit(1), "rep"), parts)
+    rest = rest.withColumn("part", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part))))
+    rest = rest.select("bucket", "block", "part", F.col("rep").alias("id"), "comp", "home", "main", "sketch", "bands").join(own.hint("merge"), "id")
+    rest = rest.select("bucket", "block", "part", "id", "comp", "home", "main", "sketch", "bands", "text")
     k = BANDS * ROWS
     least = int(k * threshold - 4.2 * (k * threshold * (1 - threshold)) ** 0.5)
-    close = rest.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_blocks(least), "a long, b long")
-    more = verified(close, "rest")
+    more = rest.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part").mapInArrow(_blocks(threshold, least), "a long, b long")
     comp = components(tmp, comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all")
     roots = tmp.save(classes.select("k1", "k2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id")), "roots")
     out = signed.select("id", "k1", "k2", "key").join(roots, ["k1", "k2"], "left")

@@ -99,6 +99,13 @@ def test_blocks(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_documents(spark, df).collect()), key=str) == brute_documents(docs)
 
 
+def test_intersections():
+    rng = random.Random(6)
+    sets = [np.unique(np.array([rng.randint(0, 40) for _ in range(rng.randint(1, 30))], np.uint64)) for _ in range(12)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[5:]] for x in sets[:5]]
+    assert minhash.intersections(sets[:5], sets[5:], columns=7).tolist() == want
+
+
 def test_similarity_is_the_sum():
     rng = random.Random(1)
     for _ in range(50):
