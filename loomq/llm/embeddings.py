@@ -4,8 +4,14 @@ A pass hashes every vector to BITS sign bits of random projections, sorts the ve
 label by the concatenated bits and compares each with its `window` predecessors; every pair
 found at or above the threshold is verified by the exact cosine at once. The pairs of all
 passes are united. How many passes are made follows from the largest label and the recall
-asked for, so recall stays the same at every size (see :func:`passes_for`). Windows end at
-partition edges; each pass sorts by other hashes, so its edges fall elsewhere.
+asked for, so recall stays the same at every size (see :func:`passes_for`).
+
+That number takes pairs to be within a window where their first :func:`bits_for` bits are
+equal. Where vectors cluster, more of them share those bits than a window holds, so runs of
+equal first bits that are longer are compared whole, in blocks of PIECE, save where all are
+in one component by then. So each pair that shares its first bits in some pass was compared
+or linked by others, whatever the data: the bits depend on the projections only. A run
+costs the square of its members that no windows joined. Partitions end between runs.
 
 Pairs between members of one component that no window showed side by side are no less
 links, so links are counted exactly within each component, in blocks of BLOCK vectors,
@@ -34,6 +40,7 @@ from .scratch import Scratch
 
 BITS = 64
 BLOCK = 256
+PIECE = 1024
 
 
 def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
@@ -46,6 +53,11 @@ def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(hit, 0.9))))
 
 
+def bits_for(n: int, window: int) -> int:
+    """First bits by which runs are made: no more than :func:`passes_for` counts on."""
+    return min(BITS - 1, max(0, math.floor(math.log2(max(n, 1) / window) + 1)))
+
+
 def unit(lists) -> np.ndarray:
     """Rows of unit length, in double precision."""
     x = np.asarray(lists.flatten() if isinstance(lists, pa.ListArray) else lists.combine_chunks().flatten(), np.float64).reshape(len(lists), -1)
@@ -53,7 +65,7 @@ def unit(lists) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(passes: int, seed: int):
+def _keys(passes: int, seed: int, vectors: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -67,7 +79,9 @@ def _keys(passes: int, seed: int):
                     bits = np.packbits((unit(some.column(3)) @ planes[dim] > 0).reshape(some.num_rows, passes, BITS // 8, 8), axis=3)
                     keys = np.ascontiguousarray(bits[..., 0]).view(">u8")[..., 0].astype(np.uint64).view(np.int64)
                     for p in range(passes):
-                        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(some.num_rows, p, np.int32)), pa.array(keys[:, p]), some.column(2), some.column(3)], names=["g", "p", "h", "c", "v"])
+                        made = [some.column(0), pa.array(np.full(some.num_rows, p, np.int32)), pa.array(keys[:, p]), some.column(2), some.column(3)]
+                        made, names = (made, ["g", "p", "h", "c", "v"]) if vectors else (made[:4], ["g", "p", "h", "c"])
+                        yield pa.RecordBatch.from_arrays(made, names=names)
 
     return run
 
@@ -101,6 +115,21 @@ def _windows(threshold: float, window: int):
     return run
 
 
+def _pairs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Forest()
+        for t in runs(batches, ["g", "p", "run", "i", "j"]):
+            own, c, comp = np.asarray(t["own"]), np.asarray(t["c"]), np.asarray(t["comp"])
+            x = unit(t["v"])
+            a, b = own == t["i"][0].as_py(), own == t["j"][0].as_py()
+            near = (x[a] @ x[b].T >= threshold) & (comp[a][:, None] != comp[b][None, :])
+            for y, z in zip(*np.nonzero(near), strict=True):
+                found.union(int(c[a][y]), int(c[b][z]))
+        yield found.edges()
+
+    return run
+
+
 def _counts(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["comp", "i", "j"]):
@@ -135,8 +164,23 @@ def near_vectors(spark: SparkSession, df: DataFrame, threshold: float = 0.93, id
     kind = classes.schema["v"].dataType.simpleString()
     hashed = classes.select("g", "dim", "c", "v").mapInArrow(_keys(passes, seed), f"g string, p int, h long, c long, v {kind}")
     parts = max(1, math.ceil(n * passes / rows_a_partition))
-    ordered = hashed.repartitionByRange(parts, "g", "p", "h", "c").sortWithinPartitions("g", "p", "h", "c")
+    bits = bits_for(largest, window)
+    run = F.shiftright("h", BITS - bits) if bits else F.lit(0).cast("long")
+    ordered = hashed.withColumn("run", run).repartitionByRange(parts, "g", "p", "run").drop("run").sortWithinPartitions("g", "p", "h", "c")
     stars = components(tmp, ordered.mapInArrow(_windows(threshold, window), "node long, root long"))
+    # Runs that a window does not span and that are not in one component yet.
+    short = classes.select("g", "dim", "c", "v").mapInArrow(_keys(passes, seed, vectors=False), "g string, p int, h long, c long").withColumn("run", run).drop("h")
+    rooted = tmp.save(short.join(stars.toDF("c", "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "rooted")
+    spread = (F.col("n") > window + 1) & (F.col("low") < F.col("high"))
+    long = rooted.groupBy("g", "p", "run").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(spread)
+    long = tmp.save(long.select("g", "p", "run", F.ceil(F.col("n") / PIECE).alias("pieces")), "long")
+    if not long.isEmpty():
+        open_ = rooted.join(long, ["g", "p", "run"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("pieces")))
+        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).join(classes.select("c", "v"), "c")
+        open_ = open_.select("g", "p", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "comp", "v")
+        keyed = ["g", "p", "run", "i", "j"]
+        more = open_.repartition(*keyed).sortWithinPartitions(*keyed).mapInArrow(_pairs(threshold), "node long, root long")
+        stars = components(tmp, stars.union(more), "joined")
     # Every member of a component of two or more, the root included.
     members = stars.select(F.col("node").alias("c"), F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
     members = tmp.save(members.toDF("c", "comp"), "members")

@@ -54,6 +54,29 @@ def test_vectors(spark):
     assert embeddings.near_vectors(spark, df.where("false")).count() == 0
 
 
+def test_clustered_vectors(spark):
+    """Labels around one centre or a few, where far more vectors share a prefix than a window holds."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for label, centres in enumerate((1, 3)):
+        middle = rng.standard_normal((centres, 64))
+        middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+        for i in range(3000):
+            noise = rng.standard_normal(64)
+            v = middle[i % centres] + noise / np.linalg.norm(noise) * (0.12 / 0.88) ** 0.5
+            rows.append((len(rows), [float(np.float32(x)) for x in v], label))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = np.triu((x @ x.T >= 0.93) & (label[:, None] == label[None, :]), 1)
+    links = list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    want = union(len(rows), links)
+    assert len(links) > 1000
+    got = sorted(map(tuple, embeddings.near_vectors(spark, spark.createDataFrame([(*r, "x", "y") for r in rows], VECTORS)).collect()))
+    assert sum(r[1] for r in got) >= 0.999 * 2 * len(links)
+    assert sum(r[2] == w for r, w in zip(got, want, strict=True)) >= 0.999 * len(rows)
+
+
 def test_production_vectors(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
