@@ -4,8 +4,12 @@ Every element's subtree is hashed (tag, attributes, text and children). Spark co
 many pages of a host each hash occurs; subtrees that recur on many pages of the host are
 its template and are deleted. What a page says itself about its parts is used too: the
 text is that of its articles, or else of its main part or body, and elements that are
-navigation, forms, adverts, notices, comments and so on by tag, role or class go. Inside an
-article, paragraphs, headings and other content elements are never taken for a template,
+navigation, forms, adverts, notices, comments and so on by tag, role or class go. A class
+or id rules an element out only if one of its names says nothing else ("ad", "site-footer",
+but not "ad-free" or "no-sidebar"), and not if the element holds most of the text of its
+article, main part or page (for readers' comments, which may outgrow the article: all of
+it). The count by host decides on the elements that are spared so, whatever their tag.
+Inside an article, other paragraphs, headings and other content elements are never taken for a template,
 so a passage that a site repeats within its articles stays.
 
 Blocks are separated by block-level tags; character references are decoded once, runs of
@@ -61,6 +65,12 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
 )
+#: Words that leave the meaning of such a word as it is, as in site-footer or sidebar-inner.
+PART_WORDS = frozenset(
+    "area article articles bar block blog bottom box btn button buttons center col column container desktop entry fixed form global google group holder icon icons inline inner item items layer left link links list main media mobile module outer overlay page panel post posts primary reader recent right row secondary section site slot sticky stories sub the this top unit user window wrap wrapper zone".split()
+)
+#: Of the dropped words, those of readers' comments.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Within an article these are content, whatever recurs.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table li dd dt".split())
 TEMPLATE_TAGS = frozenset("div section ul ol dl aside nav header footer form center table".split()) | CONTENT
@@ -145,13 +155,18 @@ class Page:
             self._text(source[at:])
         self._close(0)
 
-    def _marked(self) -> list[bool]:
-        """Nodes that their tag, role, class or id rules out. Nodes around an article are not ruled out by name."""
+    def _marked(self) -> tuple[list[bool], list[bool]]:
+        """Nodes that their tag, role, class or id rules out, and those that it would but for the rest of the name or their share of the text.
+
+        Nodes around an article are in neither.
+        """
         around = [False] * len(self.tag)
         for i in range(len(self.tag) - 1, 0, -1):
             around[self.parent[i]] |= around[i] or self.tag[i] in ("article", "main")
         out = [False] * len(self.tag)
+        spared = [False] * len(self.tag)
         inside = [False] * len(self.tag)
+        named: dict[int, bool] = {}
         for i in range(1, len(self.tag)):
             tag, attrs = self.tag[i], self.attrs[i]
             inside[i] = inside[self.parent[i]] or tag == "article"
@@ -166,13 +181,43 @@ class Page:
                     elif name == "hidden" or name == "aria-hidden" and value == "true":
                         out[i] = True
                     elif name in ("class", "id"):
-                        own = set(WORD.split(value)) & DROPPED_WORDS
-                        if tag == "article":
-                            own = {w for w in own if w.startswith(("comment", "repl"))}
-                        elif inside[i]:  # an article's own head holds its title
-                            own -= {"header", "masthead"}
-                        out[i] |= bool(own)
-        return out
+                        for one in value.split():
+                            words = set(WORD.split(one)) - {""}
+                            own = words & DROPPED_WORDS
+                            if tag == "article":
+                                own = {w for w in own if w.startswith(("comment", "repl"))}
+                            elif inside[i]:  # an article's own head holds its title
+                                own -= {"header", "masthead"}
+                            if not own:
+                                continue
+                            if all(w in DROPPED_WORDS or w in PART_WORDS or w[0].isdigit() for w in words):
+                                named[i] = named.get(i, False) or bool(own & READERS)
+                            else:
+                                spared[i] = True
+        named = {i: readers for i, readers in named.items() if not out[i]}
+        if named:
+            size, whole = self._sizes(self._under(out))
+            for i, readers in named.items():
+                if size[i] and (size[i] == whole[i] if readers else 2 * size[i] > whole[i]):
+                    spared[i] = True
+                else:
+                    out[i] = True
+        return out, spared
+
+    def _sizes(self, gone: list[bool]) -> tuple[list[int], list[int]]:
+        """Characters of each node's text without white space, and of the article, main part or page around it."""
+        size = [0] * len(self.tag)
+        for node, text in self.events:
+            if text and not gone[node]:
+                size[node] += len("".join(text.split()))
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        around = [0] * len(size)  # the node itself if it is one
+        whole = [size[0]] * len(size)
+        for i in range(1, len(size)):
+            whole[i] = size[around[self.parent[i]]]
+            around[i] = i if self.tag[i] in ("article", "main") else around[self.parent[i]]
+        return size, whole
 
     def _scope(self, marked: list[bool]) -> tuple[list[bool], str]:
         """Nodes of the articles, else of the main part, else of the body or the whole page."""
@@ -191,18 +236,18 @@ class Page:
 
     def candidates(self) -> set[int]:
         """Hashes of the subtrees within the page's scope that may be template."""
-        marked = self._marked()
+        marked, spared = self._marked()
         scope, kind = self._scope(marked)
         gone = self._under(marked)
         allowed = TEMPLATE_TAGS - CONTENT if kind == "article" else TEMPLATE_TAGS
-        return {self.hash[i] for i in range(1, len(self.tag)) if scope[i] and not gone[i] and self.tag[i] in allowed and len(self.parts[i]) > 2}
+        return {self.hash[i] for i in range(1, len(self.tag)) if scope[i] and not gone[i] and (spared[i] or self.tag[i] in allowed) and len(self.parts[i]) > 2}
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
-        marked = self._marked()
+        marked, spared = self._marked()
         scope, kind = self._scope(marked)
         if template:
             allowed = TEMPLATE_TAGS - CONTENT if kind == "article" else TEMPLATE_TAGS
-            marked = [m or (t in allowed and h in template) for m, t, h in zip(marked, self.tag, self.hash, strict=True)]
+            marked = [m or ((s or t in allowed) and h in template) for m, s, t, h in zip(marked, spared, self.tag, self.hash, strict=True)]
         gone = self._under(marked)
         blocks: list[str] = []
         now: list[str] = []

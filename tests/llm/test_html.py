@@ -33,6 +33,30 @@ def test_attributes():
     assert Page(page).text() == "T\na b c\nd\ne"
 
 
+def test_names():
+    """A class or id drops no element for a word among others, nor one that holds most of the text."""
+    for source, text in {
+        '<body><div class="site no-sidebar"><p>a</p><p>b</p></div></body>': "a\nb",
+        '<div id="page" class="has-sidebar"><p>a</p><div class="sidebar">s</div></div>': "a",
+        '<div class="page left-sidebar"><p>long text</p><div class="left-sidebar">s</div></div>': "long text",
+        '<article><p>a</p><div class="ad-free">b</div><section id="related-work"><p>c</p></section><div class="related-posts">d</div></article>': "a\nb\nc",
+        '<div class="widget menu">chrome chrome</div><article><div class="widget"><p>whole</p></div></article>': "whole",
+        '<article><p>a</p><div class="comments" id="comment-12">many more words of readers</div></article>': "a",
+        '<p>a text</p><div class="site-footer">f</div><div id="ad-1" class="big">d</div>': "a text",
+    }.items():
+        assert Page(source).text() == text, source
+
+
+def test_names_by_host(spark):
+    """The count by host decides on what a name alone does not."""
+    aside = '<p class="ad-free">Read without adverts.</p>'
+    rows = [(i, f"http://a.org/{i}", f'<div class="site no-sidebar">{aside}<p>Own {i}</p></div>') for i in range(12)]
+    rows += [(100 + i, f"http://a.org/b{i}", f"<article>{aside}<p>Own {i}</p></article>") for i in range(12)]
+    rows += [(200, "http://b.org", f"<article>{aside}<p>Own</p></article>")]
+    got = {r.page_id: r.text for r in main_texts(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i + k: f"Own {i}" for i in range(12) for k in (0, 100)} | {200: "Read without adverts.\nOwn"}
+
+
 def test_template(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("host", T.StringType())])
     box = "<div><p>Shared box</p></div>"
