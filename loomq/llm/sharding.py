@@ -104,24 +104,35 @@ def hilbert_shards(spark, rows: DataFrame, id_col: str, cell: Column, shards: in
     return placed.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).drop("__cell", "__salt", "__rank", "__before", "__within", "__total", "__at", "__small", "__more", "__head")
 
 
+def _content() -> list[Column]:
+    """size, text_crc32 and meta of a document: with its id, all that its place depends on."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    meta = F.xxhash64(F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
+    return [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), meta.alias("meta")]
+
+
 def document_shards(spark, docs: DataFrame, shards: int = 16, bits: int = 4, **more) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32, shard and slot of every document.
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, meta (a hash of language and source), shard and slot of every document.
 
     The curve's dimensions are the language, the source and the size of the text.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        category(F.col("lang"), bits).alias("__lang"),
-        category(F.col("source"), bits).alias("__source"),
-    )
+    narrow = docs.select("doc_id", *_content(), category(F.col("lang"), bits).alias("__lang"), category(F.col("source"), bits).alias("__source"))
     cell = hilbert_cell([F.col("__lang"), F.col("__source"), log_scale(F.col("size"), bits)], bits)
-    return hilbert_shards(spark, narrow, "doc_id", cell, shards, ties=("text_crc32", "size"), **more).drop("__lang", "__source")
+    return hilbert_shards(spark, narrow, "doc_id", cell, shards, ties=("text_crc32", "size", "meta"), **more).drop("__lang", "__source")
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write df into one folder a shard, in slot order, so that file statistics prune in every dimension."""
-    joined = df.join(placed.select(id_col, "shard", "slot"), id_col)
-    joined.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write df into one folder a shard, in slot order, so that file statistics prune in every dimension.
+
+    placed is :func:`document_shards` of df. Each row goes to one place of a row with its id
+    (null or not), text and metadata: rows alike in these are numbered on both sides.
+    """
+    alike = [id_col, "size", "text_crc32", "meta"]
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), F.col(id_col), *_content())
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("doc")))).alias("a")
+    places = placed.select(*alike, "shard", "slot").withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("shard", "slot"))).alias("b")
+    same = F.lit(True)
+    for c in (*alike, "nth"):
+        same = same & F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    rows = own.join(places, same).select("doc.*", "b.shard", "b.slot")
+    rows.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

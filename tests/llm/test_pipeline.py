@@ -62,6 +62,22 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == table.count()
 
 
+def test_written_shards(spark, tmp_path):
+    """Null and repeated ids are written once a row, each where its own text and metadata were placed."""
+    rows = [*ROWS, (None, "other", "en", "s1", 5, "", ""), (None, None, "de", None, 0, "", ""), (3, "", "fr", "s9", 0, "", ""), (3, "w " * 90, "fr", "s9", 7, "a", ""), (3, "w " * 90, "fr", "s9", 8, "b", "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    placed = sharding.document_shards(spark, docs, shards=4)
+    sharding.write_shards(docs, placed, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter(tuple(r)[:7] for r in out) == Counter(rows)
+    at = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in placed.collect())
+    assert Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in out) == at
+    # Languages and sources go where their cells are on the curve.
+    code = lambda x: zlib.crc32((x or "").encode()) % 16
+    curve = [sharding.hilbert_index([code(r.lang), code(r.source), min(15, int(math.log2(len((r.text or "").encode()) + 2)))], 4) for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    assert curve == sorted(curve)
+
+
 def brute_targets(sizes, most=3):
     names = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     weight = {s: 1 + i % 3 for i, s in enumerate(names)}
