@@ -1,10 +1,11 @@
 """Substring dedup by suffix automata: words covered by a window that an earlier document also has are removed.
 
-Segments around shared anchors (see :mod:`.repeats`) meet in shards by anchor. A shard's
-reference is the segments of the documents with the smallest id for some window that a
-later one has too; a generalised suffix automaton over the distinct reference segments
-keeps the smallest document of each state. The other documents' segments stream through it
-for matching statistics, and windows that match in full with a smaller document are removed.
+Segments around shared anchors (see :mod:`.repeats`) meet in shards by anchor. The reference
+of an anchor is its segments but for those of the last document, which none can match; a
+generalised suffix automaton over the distinct reference segments keeps the smallest
+document of each state. The segments of all documents but the first stream through it for
+matching statistics, and windows that match in full with a smaller document are removed.
+No hash selects windows before; only anchors in more than HOT texts have no automaton.
 
 The automata are not broadcast: the reference grows with the corpus, so each shard's
 automaton is built where its segments lie, and only the segments that can match it go there.
@@ -22,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import Kind, Segments, hulls, remove_repeats, window_keys
+from .repeats import Kind, Segments, remove_repeats
 
 
 class SuffixAutomaton:
@@ -92,41 +93,35 @@ class SuffixAutomaton:
 
 def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
     """(k1, lo, hi): ranges of window starts that occur in a smaller document."""
-    w = window_keys(s, kind)
-    rep = s.rep[w.seg]
-    order = np.lexsort((rep, w.key))
-    key = w.key[order]
-    head = np.concatenate(([True], key[1:] != key[:-1]))
-    least = np.empty(len(order), np.int64)
-    least[order] = rep[order][head][np.cumsum(head) - 1]
-    later = rep > least
-    shared = np.zeros(len(order), bool)
-    groups = np.cumsum(head) - 1
-    if len(order):
-        shared[order] = np.bincount(groups, later[order])[groups] > 0
-    reference: dict[bytes, int] = {}
-    for seg, a, b in hulls(w, s, shared & ~later, kind):
-        content = s.items[a:b].tobytes()
-        reference[content] = min(reference.get(content, 1 << 62), int(s.rep[seg]))
-    automaton = SuffixAutomaton()
-    for content, owner in reference.items():
-        automaton.add(np.frombuffer(content, "<u8").tolist(), owner)
-    automaton.finish()
-    queries: dict[bytes, list[tuple[int, int]]] = {}
-    for seg, a, b in hulls(w, s, later, kind):
-        queries.setdefault(s.items[a:b].tobytes(), []).append((seg, a))
-    for content, places in queries.items():
-        found = list(automaton.matches(np.frombuffer(content, "<u8").tolist(), kind.width))
-        at, owner = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
-        for seg, a in places:
-            hit = at[owner < s.rep[seg]]
-            if len(hit):
-                heads = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
-                tails = np.append(heads[1:], len(hit)) - 1
-                for start in s.starts[seg]:
-                    shift = int(start + a - s.first[seg])
-                    for x, y in zip(hit[heads].tolist(), hit[tails].tolist(), strict=True):
-                        yield int(s.k1[seg]), shift + x, shift + y
+    edges = np.flatnonzero(np.concatenate(([True], s.h[1:] != s.h[:-1], [True]))) if len(s.h) else np.zeros(1, int)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        rep = s.rep[i:j]
+        first, last = int(rep.min()), int(rep.max())
+        if first == last:
+            continue
+        reference: dict[bytes, int] = {}
+        queries: dict[bytes, list[int]] = {}
+        for seg in range(i, j):
+            content, own = s.items[s.first[seg] : s.first[seg + 1]].tobytes(), int(s.rep[seg])
+            if own < last:
+                reference[content] = min(reference.get(content, 1 << 62), own)
+            if own > first:
+                queries.setdefault(content, []).append(seg)
+        automaton = SuffixAutomaton()
+        for content, owner in reference.items():
+            automaton.add(np.frombuffer(content, "<u8").tolist(), owner)
+        automaton.finish()
+        for content, segs in queries.items():
+            found = list(automaton.matches(np.frombuffer(content, "<u8").tolist(), kind.width))
+            at, owner = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+            for seg in segs:
+                hit = at[owner < s.rep[seg]]
+                if len(hit):
+                    heads = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
+                    tails = np.append(heads[1:], len(hit)) - 1
+                    for start in s.starts[seg]:
+                        for x, y in zip(hit[heads].tolist(), hit[tails].tolist(), strict=True):
+                            yield int(s.k1[seg]), int(start) + x, int(start) + y
 
 
 def remove_repeated_words(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 5, **more) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,3 +117,25 @@ def test_automaton():
             if own:
                 want.append((i, min(own)))
         assert list(a.matches(q, w)) == want
+
+
+def test_automata_decide(monkeypatch):
+    """The automata find the windows of smaller documents themselves, without a hash of windows."""
+
+    def refused(*_):
+        raise AssertionError("windows were hashed")
+
+    monkeypatch.setattr(repeats, "window_keys", refused)
+    monkeypatch.setattr(automaton, "window_keys", refused, raising=False)
+    rng = random.Random(5)
+    kind = repeats.Kind(4, 2, True, True)
+    for _ in range(50):
+        rows = sorted((rng.randint(0, 2), rng.randint(0, 5), i, [rng.randint(0, 2) for _ in range(rng.randint(4, 9))]) for i in range(12))
+        h, rep, k1 = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2))
+        items = np.array([x for r in rows for x in r[3]], "<u8")
+        first = np.concatenate(([0], np.cumsum([len(r[3]) for r in rows])))
+        made = automaton.decide(repeats.Segments(h, k1, rep, [[10 * r[2], 1000] for r in rows], first, items, items), kind)
+        got = {(k, x) for k, lo, hi in made for x in range(lo, hi + 1)}
+        windows = [(g, own, k, i, tuple(s[i : i + 4])) for g, own, k, s in rows for i in range(len(s) - 3)]
+        want = {(k, start + i) for g, own, k, i, w in windows if any(g == x and o < own and w == y for x, o, _, _, y in windows) for start in (10 * k, 1000)}
+        assert got == want
