@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -11,6 +14,31 @@ BATCH_BYTES = 1 << 22
 HASH_BYTES = 1 << 20
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run over a task's batches; what it no longer uses goes back to the machine when they are done.
+
+    Python workers wait for further tasks, and an idle one would keep what its largest task needed.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a text column; nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -88,11 +116,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """What a function gives for each distinct piece, worked out once while it fits.
 
-    most bounds the bytes of kept pieces and results; beyond it the memo starts anew, which
-    costs time and never changes a result. Pieces over `long` bytes are not kept.
+    most bounds the bytes of kept pieces and results, about; beyond it the memo starts anew,
+    which costs time and never changes a result. Pieces over `long` bytes are not kept.
     """
 
-    def __init__(self, many, most: int = 64 << 20, long: int = 256):
+    def __init__(self, many, most: int = 32 << 20, long: int = 256):
         self.many, self.most, self.long = many, most, long
         self.kept: dict[str, object] = {}
         self.size = 0
@@ -114,6 +142,6 @@ class Memo:
                         kept.clear()
                         self.size = 0
                     kept[texts[i]] = x
-                    self.size += 200 + 2 * len(texts[i])
+                    self.size += 240 + 2 * len(texts[i])
             at = end
         return out

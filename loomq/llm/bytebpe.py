@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext
+from .arrowtext import lean
 
 
 @lru_cache(1)
@@ -78,7 +79,7 @@ class Codec:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.table = np.frombuffer(b"".join(tokens), np.uint8)
-        self.memo = arrowtext.Memo(lambda texts: [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        self.memo = arrowtext.Memo(lambda texts: [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_column(pa.array([text]))[0].tolist()
@@ -100,8 +101,8 @@ class Codec:
                 continue
             values, codes = arrowtext.pieces(cuts, raw[lo:hi])
             each = self.memo(values.to_pylist())
-            n = np.array([len(x) for x in each], np.int64)
-            flat, at = np.concatenate(each), np.cumsum(n) - n
+            n = np.array([len(x) for x in each], np.int64) // 4
+            flat, at = np.frombuffer(b"".join(each), np.uint32), np.cumsum(n) - n
             ids, ends = flat[arrowtext.ragged(at[codes], n[codes])], np.concatenate(([0], np.cumsum(n[codes])))
             out += [ids[ends[a] : ends[b]] for a, b in zip(first[:-1], first[1:], strict=True)]
         return out
@@ -133,7 +134,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, each, made: str) -> Dat
                 part = batch.slice(i, j - i)
                 yield each(part.column(0), part.column(1))
 
-    return rows.mapInArrow(run, f"id {kind}, {made}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, {made}").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import lean
 from .runs import Forest
 from .scratch import Scratch
 
@@ -29,7 +30,7 @@ def forest(links: DataFrame) -> DataFrame:
                 f.union(a, b)
         yield f.edges()
 
-    return links.toDF("a", "b").mapInArrow(join, STAR)
+    return links.toDF("a", "b").mapInArrow(lean(join), STAR)
 
 
 def components(tmp: Scratch, links: DataFrame, name: str = "components") -> DataFrame:

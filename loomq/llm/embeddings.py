@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrowtext import lean
 from .components import components
 from .runs import Forest, runs
 from .scratch import Scratch
@@ -162,14 +163,14 @@ def near_vectors(spark: SparkSession, df: DataFrame, threshold: float = 0.93, id
     n, largest = classes.groupBy("g").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     passes = passes_for(largest, threshold, window, recall)
     kind = classes.schema["v"].dataType.simpleString()
-    hashed = classes.select("g", "dim", "c", "v").mapInArrow(_keys(passes, seed), f"g string, p int, h long, c long, v {kind}")
+    hashed = classes.select("g", "dim", "c", "v").mapInArrow(lean(_keys(passes, seed)), f"g string, p int, h long, c long, v {kind}")
     parts = max(1, math.ceil(n * passes / rows_a_partition))
     bits = bits_for(largest, window)
     run = F.shiftright("h", BITS - bits) if bits else F.lit(0).cast("long")
     ordered = hashed.withColumn("run", run).repartitionByRange(parts, "g", "p", "run").drop("run").sortWithinPartitions("g", "p", "h", "c")
-    stars = components(tmp, ordered.mapInArrow(_windows(threshold, window), "node long, root long"))
+    stars = components(tmp, ordered.mapInArrow(lean(_windows(threshold, window)), "node long, root long"))
     # Runs that a window does not span and that are not in one component yet.
-    short = classes.select("g", "dim", "c", "v").mapInArrow(_keys(passes, seed, vectors=False), "g string, p int, h long, c long").withColumn("run", run).drop("h")
+    short = classes.select("g", "dim", "c", "v").mapInArrow(lean(_keys(passes, seed, vectors=False)), "g string, p int, h long, c long").withColumn("run", run).drop("h")
     rooted = tmp.save(short.join(stars.toDF("c", "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "rooted")
     spread = (F.col("n") > window + 1) & (F.col("low") < F.col("high"))
     long = rooted.groupBy("g", "p", "run").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(spread)
@@ -179,7 +180,7 @@ def near_vectors(spark: SparkSession, df: DataFrame, threshold: float = 0.93, id
         open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).join(classes.select("c", "v"), "c")
         open_ = open_.select("g", "p", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "comp", "v")
         keyed = ["g", "p", "run", "i", "j"]
-        more = open_.repartition(*keyed).sortWithinPartitions(*keyed).mapInArrow(_pairs(threshold), "node long, root long")
+        more = open_.repartition(*keyed).sortWithinPartitions(*keyed).mapInArrow(lean(_pairs(threshold)), "node long, root long")
         stars = components(tmp, stars.union(more), "joined")
     # Every member of a component of two or more, the root included.
     members = stars.select(F.col("node").alias("c"), F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
@@ -188,7 +189,7 @@ def near_vectors(spark: SparkSession, df: DataFrame, threshold: float = 0.93, id
     dealt = members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks"))).join(classes.select("c", "copies", "v"), "c")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "copies", "v")
-    counted = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_counts(threshold), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    counted = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lean(_counts(threshold)), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     found = tmp.save(classes.select(*keys, "c", "copies").join(members, "c", "left").join(counted, "c", "left"), "found")
     out = rows.select("id", *keys).join(found, keys, "left")
     comp = F.coalesce("comp", "c", "id")

@@ -144,7 +144,27 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('0/' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+q AS (SELECT *, CASE WHEN length(text) > 0 THEN CAST(length(translate(text, '#*$%&|<>', '')) AS DOUBLE) / CAST(length(text) AS DOUBLE) ELSE 1.0::DOUBLE END AS plain FROM d),
+k AS (SELECT doc_id, source, size, -ln(u) / greatest(plain * plain, 0.1::DOUBLE) AS key FROM q),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+r AS (
+  SELECT *, cap / weight AS ratio, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) AS rate FROM w),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT rate FROM r WHERE ratio > rate ORDER BY ratio, source NULLS LAST LIMIT 1) * weight, cap)) AS target FROM r),
+e AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS BIGINT) AS epochs FROM t),
+o AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CAST(epochs < 3 AND before + size / 2.0::DOUBLE <= target - epochs * source_size AS BIGINT)) END AS BIGINT) AS taken FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries by other means than SQL's are tested against brute force instead."""
     stops = ", ".join(f"'{x}'" for x in sorted({y for s in quality.STOP_WORDS for y in (s, s.capitalize())}))
-    return {"op1_embedding_near_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL.replace("{stops}", stops), "op5_substring_dedup": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL.replace("{stops}", stops), "op5_substring_dedup": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_source_mix": OP8_SQL}

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext
+from .arrowtext import lean
 
 _COUNTERS: dict[str, arrowtext.Memo] = {}
 
@@ -78,4 +79,4 @@ def with_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(count), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
