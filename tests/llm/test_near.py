@@ -1,11 +1,12 @@
 """Near-duplicate vectors and documents against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import types as T
 
-from loomq.llm import embeddings, minhash, queries
+from loomq.llm import embeddings, minhash, queries, wordhash
 
 
 def union(n, links):
@@ -77,6 +78,44 @@ def test_clustered_vectors(spark):
     assert sum(r[2] == w for r, w in zip(got, want, strict=True)) >= 0.999 * len(rows)
 
 
+def test_vectors_with_a_common_direction(spark):
+    """Unrelated vectors of cosine 0.8, as real embeddings have: pairs at 0.935 are found all the same."""
+    rng = np.random.default_rng(6)
+    n, pairs, mean = 12_000, 300, 0.8
+    u = rng.standard_normal((n, 64))
+    u[:, 0] = 0
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v = rng.standard_normal((pairs, 64))
+    v[:, 0] = 0
+    v -= (v * u[:pairs]).sum(1, keepdims=True) * u[:pairs]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (0.935 - mean) / (1 - mean)
+    u[pairs : 2 * pairs] = near * u[:pairs] + (1 - near**2) ** 0.5 * v
+    x = (1 - mean) ** 0.5 * u
+    x[:, 0] = mean**0.5
+    order = rng.permutation(n)
+    at = np.argsort(order)
+    x = x[order].astype(np.float32)
+    df = spark.createDataFrame([(i, e, 1, "", "") for i, e in enumerate(x.tolist())], VECTORS)
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark, df).collect()}
+    found = sum(got[a].component_id == got[b].component_id for a, b in zip(at[:pairs].tolist(), at[pairs : 2 * pairs].tolist(), strict=True))
+    assert found >= 0.999 * pairs - 1
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = sum(int((y[i : i + 2000] @ y.T >= 0.93).sum()) for i in range(0, n, 2000)) - n
+    assert links * 0.999 - 2 <= sum(r.n_links for r in got.values()) <= links
+
+
+def test_large_component(spark):
+    """Components of more vectors than a block: links are counted as brute force counts them."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    rows = [(i, [float(np.float32(x)) for x in centre + rng.standard_normal(16) * 0.3], 1) for i in range(700)]
+    rows += [(700 + i, rows[i][1], 1) for i in range(20)]
+    got = sorted(map(tuple, embeddings.near_vectors(spark, spark.createDataFrame([(*r, "", "") for r in rows], VECTORS)).collect()), key=str)
+    want = brute_vectors(rows)
+    assert got == want and max(np.unique([w[2] for w in want], return_counts=True)[1]) > embeddings.BLOCK
+
+
 def test_production_vectors(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
@@ -122,6 +161,48 @@ def test_blocks(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_documents(spark, df).collect()), key=str) == brute_documents(docs)
 
 
+def test_repeated_rows(spark):
+    """Repeated rows are verified once, and an id with several texts links by any of them."""
+    rng = random.Random(3)
+    base = [f"t{rng.randint(0, 5000)}" for _ in range(200)]
+    docs = [(7, " ".join(base))] * 400 + [(3, " ".join([*base[:198], "x", "y"]))] * 400 + [(9, "other words " * 9), (9, " ".join(base[:190])), (11, " ".join([*base[:195], "z"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in minhash.near_documents(spark, df).collect()} >= {(7, 3), (3, 3), (9, 3), (11, 3)}
+    kept = minhash.without_near_copies(spark, df).collect()
+    assert Counter(r.doc_id for r in kept) == {3: 1}
+
+
+def test_keys_tell_texts_apart():
+    """Two arrangements of two words that sums of powers modulo 2**64 cannot tell apart."""
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [" ".join("ab"[x ^ flip] for x in order) for flip in (0, 1)]
+    raw = "".join(texts).encode()
+    k1, k2 = wordhash.text_keys(np.array([0, len(texts[0]), len(raw)]), np.frombuffer(raw, np.uint8))
+    assert k1[0] != k1[1] and k2[0] != k2[1]
+    words = ["".join("ab"[x ^ flip] for x in order) for flip in (0, 1)]
+    raw = " ".join(words).encode()
+    assert len(set(wordhash.word_hashes(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))[0].tolist())) == 2
+
+
+def test_bound_of_similarity():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ({rng.randint(0, 7): rng.randint(1, 5) for _ in range(rng.randint(1, 8))} for _ in range(2))
+        arrays = lambda x: (np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)]))
+        j = minhash.similarity(arrays(a), arrays(b))
+        one = lambda x: np.array([float(x)])
+        assert minhash.may_link(np.array([[float(len(a.keys() & b.keys()))]]), one(len(a)), one(sum(a.values())), one(len(b)), one(sum(b.values())), j)[0, 0]
+
+
+def test_registers_of_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    shingles = np.unique(rng.integers(0, 1 << 62, 3000).astype(np.uint64))
+    first, weights = np.array([0, 1000, 1000, len(shingles)]), rng.integers(1, 4, len(shingles))
+    whole = minhash.signatures(shingles, weights, first, 125)
+    monkeypatch.setattr(minhash, "PIECE", 170)
+    assert (minhash.signatures(shingles, weights, first, 125) == whole).all()
+
+
 def test_intersections():
     rng = random.Random(6)
     sets = [np.unique(np.array([rng.randint(0, 40) for _ in range(rng.randint(1, 30))], np.uint64)) for _ in range(12)]
