@@ -5,7 +5,7 @@ of an anchor is its segments but for those of the last document, which none can
 generalised suffix automaton over the distinct reference segments keeps the smallest
 document of each state. The segments of all documents but the first stream through it for
 matching statistics, and windows that match in full with a smaller document are removed.
-No hash selects windows before; only anchors in more than HOT texts have no automaton.
+No hash selects windows before; only anchors of more than HOT places have no automaton.
 
 The automata are not broadcast: the reference grows with the corpus, so each shard's
 automaton is built where its segments lie, and only the segments that can match it go there.
@@ -92,7 +92,7 @@ class SuffixAutomaton:
 
 
 def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
-    """(k1, lo, hi): ranges of window starts that occur in a smaller document."""
+    """(segment, lo, hi): ranges of window starts that occur in a smaller document."""
     edges = np.flatnonzero(np.concatenate(([True], s.h[1:] != s.h[:-1], [True]))) if len(s.h) else np.zeros(1, int)
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         rep = s.rep[i:j]
@@ -121,7 +121,7 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
                     tails = np.append(heads[1:], len(hit)) - 1
                     for start in s.starts[seg]:
                         for x, y in zip(hit[heads].tolist(), hit[tails].tolist(), strict=True):
-                            yield int(s.k1[seg]), int(start) + x, int(start) + y
+                            yield seg, int(start) + x, int(start) + y
 
 
 def remove_repeated_words(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 5, **more) -> DataFrame:

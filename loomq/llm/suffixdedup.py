@@ -25,7 +25,7 @@ from .suffixarray import repeated_windows
 
 
 def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
-    """(k1, lo, hi): ranges of window starts that occur elsewhere."""
+    """(segment, lo, hi): ranges of window starts that occur elsewhere."""
     w = window_keys(s, kind)
     order = np.argsort(w.key, kind="stable")
     equal = w.key[order][1:] == w.key[order][:-1]
@@ -49,7 +49,7 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
                 for seg, a in places:
                     for start in s.starts[seg]:
                         lo = int(start + a - s.first[seg])
-                        yield int(s.k1[seg]), lo, lo + n
+                        yield seg, lo, lo + n
         if len(contents) > 1:
             for content, places in contents.items():
                 a = places[0][1]
@@ -73,7 +73,7 @@ def decide(s: Segments, kind: Kind) -> Iterator[tuple[int, int, int]]:
         head = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
         tail = np.append(head[1:], len(hit)) - 1
         for x, y in zip(hit[head].tolist(), hit[tail].tolist(), strict=True):
-            yield int(s.k1[seg]), shift + x, shift + y
+            yield seg, shift + x, shift + y
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 200, gram: int = 32, **more) -> DataFrame:
@@ -82,8 +82,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 200
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
-    """docs with the repeated bytes taken out of the text; what is left of a split character goes too."""
-    out = remove_repeated_bytes(spark, docs, text_col=text_col, **more)
-    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string")))
-    kept = F.when(F.col("n_removed") == 0, F.col(f"doc.`{text_col}`")).otherwise(F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")))
+    """docs with the repeated bytes taken out of the text; what a cut leaves of a split character goes too."""
+    out = remove_repeated_bytes(spark, docs, text_col=text_col, characters=True, **more)
+    kept = F.when(F.col("n_removed") == 0, F.col(f"doc.`{text_col}`")).otherwise(F.col("kept").cast("string"))
     return out.select(*((kept if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
