@@ -8,7 +8,9 @@ navigation, forms, adverts, notices, comments and so on by tag, role or class go
 or id rules an element out only if one of its names says nothing else ("ad", "site-footer",
 but not "ad-free" or "no-sidebar"), and not if the element holds most of the text of its
 article, main part or page (for readers' comments, which may outgrow the article: all of
-it). The count by host decides on the elements that are spared so, whatever their tag.
+it); headings never go by name, and paragraphs, list items, tables and the like only by a
+name that says advert, notice of cookies, sharing or comments. The count by host decides on
+the elements that are spared so, whatever their tag.
 Inside an article, other paragraphs, headings and other content elements are never taken for a template,
 so a passage that a site repeats within its articles stays.
 
@@ -16,8 +18,9 @@ Blocks are separated by block-level tags; character references are decoded once,
 white space become one space, and non-empty blocks are joined by a line feed.
 
 Defined results: null and empty pages have empty text; pages with a null or unreadable url
-share the host null; repeated rows give equal texts and count once per row as pages;
-unclosed, misnested and cut-off markup is read as browsers do in essence; an empty table
+share the host null; repeated rows give equal texts, and pages of equal html count once, so
+copies of a page make no template; a subtree on fewer than MIN_PAGES differing pages of its
+host is no template; unclosed, misnested and cut-off markup is read as browsers do in essence; an empty table
 gives an empty result; only the id, url and html columns are read.
 """
 
@@ -32,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrowtext import lean
 from .scratch import Scratch
 
 TOKEN = re.compile(
@@ -71,11 +75,18 @@ PART_WORDS = frozenset(
 )
 #: Of the dropped words, those of readers' comments.
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Names that rule out a content element too, as whole names.
+MARKS = READERS | frozenset("ad ads advert adverts advertisement advertising adsense consent cookie cookies newsletter promo promoted share sharing social sponsor sponsored subscribe widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Within an article these are content, whatever recurs.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table li dd dt".split())
 TEMPLATE_TAGS = frozenset("div section ul ol dl aside nav header footer form center table".split()) | CONTENT
 
 
+#: Differing pages of a host that a subtree must be on: two may be one article at two addresses.
+MIN_PAGES = 3
+
+
 class Page:
     """A parsed page: nodes in order of their opening, and its text and block boundaries in order."""
 
@@ -87,6 +98,7 @@ class Page:
         self.hash: list[int] = [0]
         self.events: list[tuple[int, str | None]] = []
         self._stack = [0]
+        self._open_at: dict[str, list[int]] = {}  # places in the stack, by tag
         self._parse(source)
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -95,6 +107,7 @@ class Page:
         self.parent.append(self._stack[-1])
         self.parts.append([tag, attrs.strip()])
         self.hash.append(0)
+        self._open_at.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
         if tag in BLOCK:
             self.events.append((self._stack[-1], None))
@@ -102,6 +115,8 @@ class Page:
     def _close(self, down_to: int) -> None:
         while len(self._stack) > down_to:
             node = self._stack.pop()
+            if node:
+                self._open_at[self.tag[node]].pop()
             self.hash[node] = xxhash.xxh64_intdigest("\0".join(self.parts[node]).encode("utf-8", "surrogatepass")) - (1 << 63)
             if self._stack:
                 self.parts[self._stack[-1]].append(str(self.hash[node]))
@@ -109,13 +124,11 @@ class Page:
                 self.events.append((node, None))
 
     def _end_open(self, tags: frozenset[str], fence: frozenset[str]) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            t = self.tag[self._stack[i]]
-            if t in tags:
-                return self._close(i)
-            if t in fence:
-                return None
-        return None
+        """Close the innermost open element of tags, unless one of the fence is within it."""
+        open_at = self._open_at
+        at = max((own[-1] for t in tags if (own := open_at.get(t))), default=0)
+        if at and (at == len(self._stack) - 1 or not any(own[-1] > at for t in fence if (own := open_at.get(t)))):
+            self._close(at)
 
     def _text(self, text: str) -> None:
         node = self._stack[-1]
@@ -182,6 +195,11 @@ class Page:
                         out[i] = True
                     elif name in ("class", "id"):
                         for one in value.split():
+                            if tag in HEADINGS:
+                                continue
+                            if tag in CONTENT and one not in MARKS:
+                                spared[i] |= bool((set(WORD.split(one)) & DROPPED_WORDS))
+                                continue
                             words = set(WORD.split(one)) - {""}
                             own = words & DROPPED_WORDS
                             if tag == "article":
@@ -262,14 +280,17 @@ class Page:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, h) for each page, with no h, and for each of its subtrees that may be template."""
     for batch in batches:
         hosts: list[str | None] = []
-        hashes: list[int] = []
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = Page(source or "").candidates()
+        pages: list[int] = []
+        hashes: list[int | None] = []
+        for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = [None, *Page(source or "").candidates()]
             hosts += [host] * len(own)
+            pages += [page] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "h"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,15 +305,21 @@ def host_of(url):
     return F.when(host != "", host)
 
 
-def main_texts(spark: SparkSession, pages: DataFrame, min_pages: int = 10, min_share: float = 0.1, rows_a_part: int = 10_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_texts(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = 0.1, rows_a_part: int = 10_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url and text of every page.
 
     A subtree is template if it is on min_pages pages of the host and on min_share of them.
+    Pages of equal html, by a hash, are one page.
     """
     tmp = Scratch(spark, "html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = rows.select("host", "html").mapInArrow(_subtrees, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    seen = rows.select("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("page"), "html").mapInArrow(lean(_subtrees), "host string, page long, h long")
+    seen = tmp.save(seen, "subtrees")
+    counts = seen.where("h is null").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    # Copies are told apart only for subtrees that are on enough pages with them.
+    some = seen.where("h is not null").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select(F.col("host").alias("x"), F.col("h").alias("y"))
+    seen = seen.join(some, (F.col("h") == F.col("y")) & F.col("host").eqNullSafe(F.col("x")), "left_semi").distinct()
+    seen = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     often = seen.alias("s").join(counts.alias("c"), F.col("s.host").eqNullSafe(F.col("c.host"))).where(F.col("n") >= min_share * F.col("pages"))
     # At most (subtrees of a page / min_share) hashes a host.
     template = often.groupBy(F.col("s.host").alias("host"), "pages").agg(F.collect_list("h").alias("template"))
@@ -304,5 +331,5 @@ def main_texts(spark: SparkSession, pages: DataFrame, min_pages: int = 10, min_s
     t = template.select(F.col("host").alias("h"), F.col("part").alias("p"), "template")
     joined = dealt.join(t, F.col("host").eqNullSafe(F.col("h")) & (F.col("at") == F.col("p")), "left")
     kind = pages.schema[id_col].dataType.simpleString()
-    out = joined.select("page_id", "url", "html", "template").mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    out = joined.select("page_id", "url", "html", "template").mapInArrow(lean(_texts), f"page_id {kind}, url string, text string")
     return out.toDF(id_col, url_col, "text")

@@ -1,5 +1,6 @@
 import html as stdlib
 import re
+import time
 
 from pyspark.sql import types as T
 
@@ -47,6 +48,33 @@ def test_names():
         assert Page(source).text() == text, source
 
 
+def test_content_stays():
+    """Ids made from titles, and class names of content, rule nothing out."""
+    page = """<article><h2 id="related-work">Related work</h2><p>x</p><h2 id="search">Search</h2><p class="notice-period">y</p><figure class="banner">z</figure>
+    <h3 class="ad">Ads</h3><ul id="comments"><li id="menu">l</li></ul><table id="sidebar"><tr><td>t</td></tr></table></article>"""
+    assert Page(page).text() == "Related work\nx\nSearch\ny\nz\nAds\nt"
+
+
+def test_stray_tags_take_linear_time():
+    began = time.perf_counter()
+    n = 70_000
+    assert Page("<i>" * n + "</b>" * n + "<p>a" * n).text().count("a") == n
+    assert Page("<b>" * n + "</i>" * n + "</div>" * n + "x").text() == "x"
+    assert Page("<div>" * 20_000 + "<span>y</p></em>" * 20_000).text() == "y" + "y" * 19_999
+    assert time.perf_counter() - began < 12
+
+
+def test_unmarked_furniture(spark):
+    """Hosts without articles and without telling names: what recurs goes, copies of a page do not count as pages."""
+    top, side = "<div><a href='/'>Home</a> <a href='/b'>More</a></div>", "<ul><li><a href='/x'>Links</a></li></ul>"
+    rows = [(i, f"http://a.org/{i}", f"<body>{top}<div><h1>Title {i}</h1><p>Own words {i}.</p></div>{side}</body>") for i in range(4)]
+    rows += [(10 + i, f"http://b.org/{i}", "<body><div><p>The same page at five addresses.</p></div></body>") for i in range(5)]
+    rows += [(20 + i, f"http://c.org/{i}", f"<article><div>Box</div><div><p>Own {i}</p></div></article>") for i in range(3)]
+    got = {r.page_id: r.text for r in main_texts(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Title {i}\nOwn words {i}." for i in range(4)} | {10 + i: "The same page at five addresses." for i in range(5)} | {20 + i: f"Own {i}" for i in range(3)}
+    assert got == want
+
+
 def test_names_by_host(spark):
     """The count by host decides on what a name alone does not."""
     aside = '<p class="ad-free">Read without adverts.</p>'
