@@ -5,6 +5,11 @@ are split by a hash of the id into buckets of about `target` rows, buckets are c
 their running totals joined back, and rows are numbered within their bucket only. So no
 task sorts more than a bucket, whatever share of the rows one cell holds.
 
+Languages and sources are quantised by their order, so a run holds neighbouring values and
+the least and greatest of a file prune; see :func:`places`. Equal texts are rows of their own:
+law `rows` gives each a slot, and those of equal language, source and size are neighbours
+in the curve, but the cuts between shards may part them.
+
 Defined results: null metadata take place 0, a null text has no bytes and the CRC-32 of
 nothing (0), null ids hash like a value of their own; equal rows take neighbouring slots
 in either order, which gives the same rows; an empty table gives an empty result; other
@@ -67,9 +72,26 @@ def log_scale(size: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 1.0)), F.lit((1 << bits) - 1)).cast("int")
 
 
-def category(value: Column, bits: int) -> Column:
-    """A category's place by its CRC-32; 0 for null."""
-    return F.coalesce(F.crc32(value.cast("string").cast("binary")) % (1 << bits), F.lit(0)).cast("int")
+def places(rows: DataFrame, column: str, bits: int, most: int = 4096) -> list[tuple[str, int]]:
+    """(least value, place) in order: how the values of a column are spread over 2**bits places, by their order.
+
+    The places hold about equally many of the distinct values, which are told by their first
+    64 characters; of more than `most`, those with the smallest hashes say where places begin.
+    """
+    values = rows.select(F.substring(F.col(column).cast("string"), 1, 64).alias("v")).where("v is not null").distinct()
+    some = sorted(r.v for r in values.orderBy(F.xxhash64("v"), "v").limit(most).collect())
+    made: dict[int, str] = {}
+    for i, v in enumerate(some):
+        made.setdefault((i << bits) // len(some), v)
+    return [(v, p) for p, v in made.items()]
+
+
+def category(value: Column, found: list[tuple[str, int]]) -> Column:
+    """The place of a value by :func:`places`; 0 for null."""
+    out, v = F.lit(0), F.substring(value.cast("string"), 1, 64)
+    for start, place in found:
+        out = F.when(v >= start, place).otherwise(out) if place else out
+    return F.coalesce(out, F.lit(0)).cast("int")
 
 
 def hilbert_shards(spark, rows: DataFrame, id_col: str, cell: Column, shards: int = 16, target: int = 1 << 20, split: int = 16, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -116,7 +138,8 @@ def document_shards(spark, docs: DataFrame, shards: int = 16, bits: int = 4, **m
 
     The curve's dimensions are the language, the source and the size of the text.
     """
-    narrow = docs.select("doc_id", *_content(), category(F.col("lang"), bits).alias("__lang"), category(F.col("source"), bits).alias("__source"))
+    of = {c: category(F.col(c), places(docs, c, bits)).alias(f"__{c}") for c in ("lang", "source")}
+    narrow = docs.select("doc_id", *_content(), *of.values())
     cell = hilbert_cell([F.col("__lang"), F.col("__source"), log_scale(F.col("size"), bits)], bits)
     return hilbert_shards(spark, narrow, "doc_id", cell, shards, ties=("text_crc32", "size", "meta"), **more).drop("__lang", "__source")
 

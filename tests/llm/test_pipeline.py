@@ -5,14 +5,16 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
 import public_tokenizers as P
-from loomq.llm import bytebpe, mixing, quality, queries, sharding
+from loomq.llm import bytebpe, mixing, quality, queries, scratch, sharding
 from tests.llm.test_near import brute_documents
 from tests.llm.test_repeats import brute_bytes
 
@@ -44,6 +46,29 @@ def check_shards(rows, docs, shards=16):
     assert sum(counts) == len(docs) and max(counts) - min(counts) <= 1 and set(slots) <= set(range(shards))
 
 
+def placing(table):
+    """The place of a column's value among all of the table: by its rank."""
+    ranks = {c: sorted({r[c] for r in table.select(c).collect()} - {None}) for c in ("lang", "source")}
+    return lambda c, v: 0 if v is None else (ranks[c].index(v) << 4) // len(ranks[c])
+
+
+def test_pruning(spark, tmp_path):
+    """Least and greatest of a shard leave out most shards for one source, and for one language."""
+    langs, sources = [f"l{i:02}" for i in range(8)], [f"s{i:02}" for i in range(16)]
+    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), (F.col("id") % 7 * 50).cast("int")).alias("text"), F.get(F.lit(langs), (F.col("id") % 8).cast("int")).alias("lang"), F.get(F.lit(sources), F.expr("hash(id) & 15")).alias("source"))
+    sharding.write_shards(docs, sharding.document_shards(spark, docs), str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg(*(f(c).alias(f"{n}_{c}") for c in ("lang", "source") for n, f in (("low", F.min), ("high", F.max)))).collect()
+    reads = {c: [sum(r[f"low_{c}"] <= v <= r[f"high_{c}"] for r in found) for v in vs] for c, vs in (("lang", langs), ("source", sources))}
+    assert all(sum(n) <= 8 * len(n) for n in reads.values()), reads
+
+
+def test_places(spark):
+    rows = [(f"v{i:05}",) for i in range(9000)] + [(None,), ("v00000",), ("w" * 100,)]
+    found = sharding.places(spark.createDataFrame(rows, "c string"), "c", 4, most=1000)
+    assert [p for _, p in found] == list(range(16)) and [v for v, _ in found] == sorted(v for v, _ in found)
+    assert sharding.places(spark.createDataFrame([(None,)], "c string"), "c", 4) == []
+
+
 def test_shards(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, DOCS)
     check_shards(sharding.document_shards(spark, docs).collect(), [(r[0], r[1]) for r in ROWS])
@@ -55,8 +80,8 @@ def test_shards(spark, tmp_path):
     placed = sharding.document_shards(spark, table, target=3, split=2)
     check_shards(placed.collect(), [tuple(r) for r in table.select("doc_id", "text").collect()])
     at = {r.doc_id: (r.shard, r.slot) for r in placed.collect()}
-    code = lambda x: zlib.crc32((x or "").encode()) % 16
-    curve = sorted((sharding.hilbert_index([code(r.lang), code(r.source), min(15, int(math.log2(len((r.text or "").encode()) + 2)))], 4), at[r.doc_id]) for r in table.collect())
+    code = placing(table)
+    curve = sorted((sharding.hilbert_index([code("lang", r.lang), code("source", r.source), min(15, int(math.log2(len((r.text or "").encode()) + 2)))], 4), at[r.doc_id]) for r in table.collect())
     assert [x[1] for x in sorted(curve, key=lambda x: x[1])] == sorted(at.values()) and [c for c, _ in sorted(curve, key=lambda x: x[1])] == sorted(c for c, _ in curve)
     sharding.write_shards(table, placed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == table.count()
@@ -73,8 +98,8 @@ def test_written_shards(spark, tmp_path):
     at = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in placed.collect())
     assert Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in out) == at
     # Languages and sources go where their cells are on the curve.
-    code = lambda x: zlib.crc32((x or "").encode()) % 16
-    curve = [sharding.hilbert_index([code(r.lang), code(r.source), min(15, int(math.log2(len((r.text or "").encode()) + 2)))], 4) for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    code = placing(docs)
+    curve = [sharding.hilbert_index([code("lang", r.lang), code("source", r.source), min(15, int(math.log2(len((r.text or "").encode()) + 2)))], 4) for r in sorted(out, key=lambda r: (r.shard, r.slot))]
     assert curve == sorted(curve)
 
 
@@ -122,6 +147,30 @@ def test_mix(spark):
     assert sorted(first) == sorted(second)
 
 
+def test_many_sources_and_ranges(spark, monkeypatch):
+    """Ranges of a few rows give what one range gives, for many sources and one that holds a third."""
+    docs = [(i, "w " * (i * 7 % 23), "big" if i % 3 == 0 else f"s{i * 5 % 97:02}" if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    size, quality = mixing.word_count(F.col("text")), F.when(F.col("doc_id") % 2 == 0, 0.1).otherwise(1.0)
+    read = lambda: sorted(map(str, mixing.mix(spark, df, size, quality).select("doc.doc_id", "size", "source_size", "target", "taken").collect()))
+    whole = read()
+    monkeypatch.setattr(mixing, "ROWS_A_PART", 90)
+    assert read() == whole
+    check_mix(mixing.mix(spark, df, size, quality).select("doc.doc_id", "size", "source_size", "target", "taken").collect(), docs)
+
+
+def test_equal_rows_at_the_cut(spark):
+    """Repeated rows are rows of their own, also where only some of them are taken."""
+    rows = [(1, "a b", "s", k) for k in ("x", "y", "z")] * 30 + [(None, "c", "t", None)] * 40 + [(2, "d " * 60, "u", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more string")
+    made = mixing.mix(spark, df, mixing.word_count(F.col("text")))
+    sizes = {"s": 180, "t": 40, "u": 60}
+    target, taken = brute_targets(sizes), {r.source: r.n for r in made.groupBy("doc.source").agg(F.sum("taken").alias("n")).collect()}
+    assert all(abs(taken[s] - target[s]) <= {"s": 2, "t": 1, "u": 60}[s] for s in sizes)
+    first, second = (sorted(map(str, mixing.mixed(spark, df.repartition(n)).collect())) for n in (1, 5))
+    assert first == second
+
+
 def test_weights_prefer(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b").alias("text"), (F.col("id") % 2).alias("q"))
     other = spark.range(4000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("t").alias("source"), F.lit("a").alias("text"), F.lit(0).alias("q"))
@@ -191,8 +240,35 @@ def test_pipeline(spark):
 
 
 def test_pipeline_edges(spark):
-    docs = spark.createDataFrame(ROWS, DOCS)
+    """Each stage alone: nulls, empty and long texts, repeated rows, and columns with names that stages use."""
+    long = " ".join(f"{w}{i % 977}" for i in range(30_000) for w in ("the", "of", "mix"))
+    rows = [*ROWS, (8, long, "en", "s1", len(long), "x", "y"), (9, long[:-1] + "!", "en", "s1", len(long), "x", "y")]
+    docs = spark.createDataFrame(rows, DOCS)
+    stages = dict(corpus_pipeline.STAGES)
     for frame in (docs, docs.where("false")):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert sorted(stage(spark, frame, SF).columns) == sorted(frame.columns)
-            stage(spark, frame, SF).collect()
+    assert all(stage(spark, docs.where("false"), SF).count() == 0 for stage in stages.values())
+    of = lambda name: Counter(tuple(r[c] for c in docs.columns) for r in stages[name](spark, docs, SF).collect())
+    assert {r[0] for r in of("quality_rules")} <= {8, 9}
+    assert of("minhash_near_dedup") == Counter({r for r in rows if r[0] not in (9, 5)} | {r for r in rows if r[0] is None})
+    cut = of("suffix_array_dedup")
+    assert sum(cut.values()) == len(rows) and {(r[0], r[1]) for r in cut if r[0] in (1, 2, 3, None)} == {(r[0], r[1]) for r in rows if r[0] in (1, 2, 3, None)}
+    mix = of("source_mix")
+    assert set(mix) <= set(rows) and not any(r[0] in (2, 3) for r in mix)
+    ids = {r.doc_id: r for r in stages["byte_bpe"](spark, docs, SF).collect()}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytebpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert {i: list(r.ids) for i, r in ids.items()} == {r[0]: own.encode_ordinary(r[1] or "") for r in rows}
+    assert all(ids[r[0]].decoded_sha256 == hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+
+
+def test_scratch(spark, tmp_path):
+    """Tables go with the session; without a shared folder there is none on a cluster."""
+    tmp = scratch.Scratch(spark, "here")
+    assert tmp.save(spark.range(3), "t").count() == 3 and spark.conf.get(scratch.CLEANUP, "false") == "false"
+    fs, path = tmp._fs(f"{tmp.root}/t")
+    tmp.drop("t")
+    assert not fs.exists(path)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getConf=lambda: {}, master="spark://x"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(cluster)
