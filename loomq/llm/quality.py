@@ -71,16 +71,15 @@ def _let(value: Column, body) -> Column:
 def repeated_words(ws: Column, n: int = 3) -> Column:
     """Words in windows of n words that occur twice or more in ws, the first one included.
 
-    Sorted 64-bit window hashes show which occur twice. Where those are few, the places of
-    their windows are looked up in that list; else hashes are sorted together with places.
-    Either way the union of the windows' extents is summed from the gaps between places:
+    Where 64-bit window hashes are all distinct, there are none. Else sorted hashes show which
+    occur twice. Where those are few, the places of their windows are looked up in that list;
+    else hashes are sorted together with places. Either way the union of the windows' extents is summed from the gaps between places:
     O(n log n) on the row, never a comparison of all pairs.
     """
     few = 16
 
     def hashes(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - n)
-        return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, n)))), 1, F.size(w) - n + 1)
 
     def twice(s: Column) -> Column:
         return F.array_distinct(F.filter(s, lambda x, j: F.get(s, j - 1) == x))
@@ -99,36 +98,37 @@ def repeated_words(ws: Column, n: int = 3) -> Column:
         gaps = F.transform(p, lambda x, j: F.least(F.lit(n), F.coalesce(F.get(p, j + 1) - x, F.lit(n))))
         return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    count = _let(_let(_let(ws, hashes), places), extent)
+    count = _let(_let(ws, hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(places(h), extent)))
     return F.when(F.size(ws) < n, F.lit(0)).otherwise(count).cast("long")
 
 
-def dup_lines(text: Column) -> Column:
-    r"""Lines, split at \n, that hold a word and equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def lines(text: Column) -> Column:
+    r"""Lines, split at \n, that hold a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
 
 
-def measures(text: Column, ws: Column) -> dict[str, Column]:
-    """Counts and ratios by name; ws must be the words of text."""
+def measures(text: Column, ws: Column, ls: Column) -> dict[str, Column]:
+    """Counts and ratios by name; ws must be the words of text and ls its lines."""
     body = F.coalesce(text, F.lit(""))
     n = F.size(ws)
     per_word = lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))
-    n_lines = F.greatest(F.regexp_count(body, F.lit(f"(?m)^.*[^{SPACE}].*$")), F.lit(1))
-    word_chars = F.length(F.translate(body, SPACE, "")).cast("long")
-    n_symbols = (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long")
+    n_lines = F.greatest(F.size(ls), F.lit(1))
+    word_chars = F.length(F.array_join(ws, "")).cast("long")
+    n_symbols = F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long")
+    some = lambda of: F.size(F.filter(ls, of))
+    ends = lambda x: F.rtrim(x, F.lit(" \t"))
     return {
         "n_words": n.cast("long"),
         "word_chars": word_chars,
         "n_symbols": n_symbols,
-        "n_dup_lines": dup_lines(text),
+        "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
         "n_repeat_words": repeated_words(ws),
         "mean_word_length": per_word(word_chars),
         "symbol_ratio": per_word(n_symbols),
         "stop_word_ratio": per_word(F.size(F.filter(ws, lambda x: x.isin(*STOP_WORDS, *(s.capitalize() for s in STOP_WORDS))))),
         "alpha_word_ratio": per_word(F.regexp_count(body, F.lit(f"[^{SPACE}\\p{{L}}]*+\\p{{L}}[^{SPACE}]*+"))),
-        "bullet_line_ratio": F.regexp_count(body, F.lit(r"(?m)^[ \t]*[-*•]")) / n_lines,
-        "ellipsis_line_ratio": F.regexp_count(body, F.lit(r"(?m)(\.\.\.|…)[ \t]*$")) / n_lines,
+        "bullet_line_ratio": some(lambda x: F.substring(F.ltrim(x, F.lit(" \t")), 1, 1).isin("-", "*", "•")) / n_lines,
+        "ellipsis_line_ratio": some(lambda x: ends(x).endswith("...") | ends(x).endswith("…")) / n_lines,
         "n_lines": n_lines.cast("long"),
     }
 
@@ -162,7 +162,8 @@ def quality(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
             (m["n_dup_lines"] / m["n_lines"]).alias("dup_line_ratio"),
         )
 
-    return _let(_let(_let(words(text), lambda w: F.struct(*(c.alias(k) for k, c in measures(text, w).items()))), rated), judged)
+    made = _let(F.struct(words(text).alias("words"), lines(text).alias("lines")), lambda x: F.struct(*(c.alias(k) for k, c in measures(text, x["words"], x["lines"]).items())))
+    return _let(_let(made, rated), judged)
 
 
 def with_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
