@@ -9,7 +9,7 @@ within a group of segments is the caller's: suffix arrays or suffix automata.
 What a text repeats within itself counts once, with all its places. Anchors of more than
 HOT places are not grouped: their windows are counted by 128 bits of hash, with map-side
 aggregation, so no task holds the segments of a very common passage. A text counts as one
-place of an anchor, or two, unless it has more than MANY: then each counts.
+place of an anchor, or two, unless it has more than MANY: then all count.
 
 A text of over PIECE symbols is taken in pieces that overlap by a window less one symbol, so
 each of its windows lies in one piece and a worker holds little more than the text.
@@ -109,7 +109,7 @@ def anchors(values: np.ndarray, prefix: np.ndarray, first: np.ndarray, kind: Kin
 
 
 def _scan(kind: Kind):
-    """(h, k1, k2, at) of anchors: of each text its anchors once, or twice if its own repeats count, or all of more than MANY. Texts seen before in the task are left out."""
+    """(h, k1, k2, at, n) of anchors: of each text its anchors once, or twice if its own repeats count; n sums up to their places where these are more than MANY, else to these rows. Texts seen before in the task are left out."""
     most = 1 if kind.earlier else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +128,11 @@ def _scan(kind: Kind):
                 head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]))))[: len(h)]
                 size = np.diff(np.append(head, len(h)))
                 nth, size = np.arange(len(h)) - np.repeat(head, size), np.repeat(size, size)
-                keep = (nth < most) | (size > MANY)
-                if kind.earlier:
-                    at = np.where(size > MANY, at, 0)
+                keep = nth < most
+                n = np.where(size > MANY, np.where(nth == 0, size, 0), 1)
+                at = np.zeros(len(h), np.int64) if kind.earlier else at
                 own = text[keep] + p.i
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(k1[own]), pa.array(k2[own]), pa.array(at[keep])], names=["h", "k1", "k2", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(k1[own]), pa.array(k2[own]), pa.array(at[keep]), pa.array(n[keep].astype(np.int32))], names=["h", "k1", "k2", "at", "n"])
 
     return run
 
@@ -142,16 +142,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, joined = None, False  # the last row so far, and whether it shares its anchor with the row before
 
     def made(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(3)], names=["h", "k1", "k2"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in (0, 1, 2, 4)], names=["h", "k1", "k2", "n"])
 
     for batch in batches:
-        rows = np.stack([np.asarray(batch.column(i)) for i in range(4)], 1)
+        rows = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5)], 1)
         if not len(rows):
             continue
         if held is not None:
             rows = np.concatenate((held, rows))
         keep = np.ones(len(rows), bool)
-        keep[1:] = (rows[1:] != rows[:-1]).any(1)
+        keep[1:] = (rows[1:, :4] != rows[:-1, :4]).any(1)
         rows = rows[keep]
         same = np.zeros(len(rows) + 1, bool)
         same[1:-1] = rows[1:, 0] == rows[:-1, 0]
@@ -398,17 +398,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, kind: Kind, decide: Dec
     ids = tmp.save(ids, "ids")
     reps = tmp.save(ids.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.sum("rows").alias("copies")), "reps")
 
-    found = some.select("k1", "k2", "text").mapInArrow(lean(_scan(kind)), "h long, k1 long, k2 long, at long")
-    shared = tmp.save(found.repartition("h").sortWithinPartitions("h", "k1", "k2", "at").mapInArrow(lean(_shared), "h long, k1 long, k2 long"), "shared")
-    hot = shared.groupBy("h").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > HOT).select("h", F.lit(True).alias("hot"))
-    wanted = shared.distinct().join(hot, "h", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    found = some.select("k1", "k2", "text").mapInArrow(lean(_scan(kind)), "h long, k1 long, k2 long, at long, n int")
+    shared = tmp.save(found.repartition("h").sortWithinPartitions("h", "k1", "k2", "at").mapInArrow(lean(_shared), "h long, k1 long, k2 long, n long"), "shared")
+    hot = shared.groupBy("h").agg(F.sum("n").alias("places")).where(F.col("places") > HOT).select("h", F.lit(True).alias("hot"))
+    wanted = shared.select("h", "k1", "k2").distinct().join(hot, "h", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     wanted = reps.join(wanted, ["k1", "k2"]).select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "rep", "wanted")
     own = (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & F.col("id").eqNullSafe(F.col("rep"))
     suspects = tmp.save(some.join(wanted, own).select("k1", "k2", F.coalesce("rep", F.lit(0)).alias("rep"), "text", "wanted"), "suspects")
 
-    segments = suspects.mapInArrow(lean(_around(kind, False)), SEGMENT).repartition("h").sortWithinPartitions("h")
+    some_hot = F.exists("wanted", lambda x: x["hot"])
+    segments = suspects.where(F.exists("wanted", lambda x: ~x["hot"])).mapInArrow(lean(_around(kind, False)), SEGMENT).repartition("h").sortWithinPartitions("h")
     ranges = segments.mapInArrow(lean(_decided(decide, kind)), RANGES)
-    singles = tmp.save(suspects.mapInArrow(lean(_around(kind, True)), "w1 long, w2 long, k1 long, k2 long, rep long, starts array<long>").distinct(), "singles")
+    singles = tmp.save(suspects.where(some_hot).mapInArrow(lean(_around(kind, True)), "w1 long, w2 long, k1 long, k2 long, rep long, starts array<long>").distinct(), "singles")
     counts = singles.groupBy("w1", "w2").agg(F.min("rep").alias("least"), F.sum(F.size("starts")).alias("places")).where("places > 1").select("w1", "w2", "least")
     common = singles.join(counts, ["w1", "w2"])
     if kind.earlier:
