@@ -131,5 +131,5 @@ def mixed(spark, docs: DataFrame, text_col: str = "text", quality: Column | None
 def quality_weight(text: Column) -> Column:
     """From 0.1 to 1: the squared share of a text's characters that are no markup symbols."""
     body = F.coalesce(text, F.lit(""))
-    share = F.when(F.length(body) > 0, F.length(F.translate(body, SYMBOLS, "")) / F.length(body)).otherwise(F.lit(1.0))
+    share = F.when(F.length(body) > 0, (F.length(body) - F.regexp_count(body, F.lit(f"[{SYMBOLS}]"))) / F.length(body)).otherwise(F.lit(1.0))
     return F.greatest(share * share, F.lit(0.1))
