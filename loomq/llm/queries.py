@@ -13,7 +13,15 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: a table too small to give each core a task's bytes is dealt out first, as its file may be one row group."""
+    spark = rows.sparkSession
+    cores, task = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if size >= cores * task else rows.repartition(cores)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +152,40 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+b AS (
+  SELECT doc_id, lang, source, CAST(strlen(t) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda a, x: xor(a >> 8, ([{crc}]::BIGINT[])[1 + (xor(a, x) & 255)])), 4294967295::BIGINT) AS text_crc32 FROM d),
+l AS (SELECT lang AS v, (row_number() OVER (ORDER BY lang) - 1) * 16 // count(*) OVER () AS p FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+s AS (SELECT source AS v, (row_number() OVER (ORDER BY source) - 1) * 16 // count(*) OVER () AS p FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+c AS (
+  SELECT doc_id, size, text_crc32, ([{curve}])[1 + (coalesce(l.p, 0) * 16 + coalesce(s.p, 0)) * 16 + least(length(bin(size + 1)) - 1, 15)] AS cell, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS number
+  FROM b LEFT JOIN l ON b.lang = l.v LEFT JOIN s ON b.source = s.v),
+n AS (SELECT *, count(*) OVER (PARTITION BY cell) AS in_cell, count(*) OVER () // 16 AS small, count(*) OVER () % 16 AS more FROM c),
+o AS (SELECT *, more * (small + 1) AS head, row_number() OVER (ORDER BY cell, number % greatest(16, CAST(ceil(in_cell / 1048576.0) AS BIGINT)), doc_id, text_crc32, size) - 1 AS pos FROM n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(CASE WHEN pos < head THEN pos // (small + 1) ELSE more + (pos - head) // greatest(small, 1) END AS INTEGER) AS shard,
+  CAST(CASE WHEN pos < head THEN pos % (small + 1) ELSE (pos - head) % greatest(small, 1) END AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o
+"""
+
+
+def crc_table() -> list[int]:
+    """CRC-32 of each byte, by its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+def op7_sql() -> str:
+    """The places along the curve by SQL, with tables made by rule."""
+    curve = (sharding.hilbert_index([c >> 8, c >> 4 & 15, c & 15], 4) for c in range(4096))
+    return OP7_SQL.replace("{crc}", ", ".join(map(str, crc_table()))).replace("{curve}", ", ".join(map(str, curve)))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
@@ -167,4 +209,4 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE si
 def oracle_sql() -> dict[str, str]:
     """Queries by other means than SQL's are tested against brute force instead."""
     stops = ", ".join(f"'{x}'" for x in sorted({y for s in quality.STOP_WORDS for y in (s, s.capitalize())}))
-    return {"op1_embedding_near_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL.replace("{stops}", stops), "op5_substring_dedup": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL.replace("{stops}", stops), "op5_substring_dedup": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_hilbert_shards": op7_sql(), "op8_source_mix": OP8_SQL}

@@ -68,8 +68,14 @@ def hilbert_cell(dims: list[Column], bits: int) -> Column:
 
 
 def log_scale(size: Column, bits: int) -> Column:
-    """floor(log2(size + 1)), capped to the grid."""
-    return F.least(F.floor(F.log2(F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 1.0)), F.lit((1 << bits) - 1)).cast("int")
+    """floor(log2(size + 1)), by its binary digits, capped to the grid."""
+    digits = F.length(F.bin((F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 1).cast("long")))
+    return F.least(digits - 1, F.lit((1 << bits) - 1)).cast("int")
+
+
+def spreading(value: Column) -> Column:
+    """A number of 60 bits from the MD5 of an id: the same in every engine."""
+    return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def places(rows: DataFrame, column: str, bits: int, most: int = 4096) -> list[tuple[str, int]]:
@@ -105,7 +111,7 @@ def hilbert_shards(spark, rows: DataFrame, id_col: str, cell: Column, shards: in
     cells = kept.groupBy("__cell").agg(F.count(F.lit(1)).alias("__in_cell"))
     # At most one row for each cell of the grid.
     parts = F.greatest(F.lit(split), F.ceil(F.col("__in_cell") / target)).cast("long")
-    salted = kept.join(F.broadcast(cells), "__cell").withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), parts)).drop("__in_cell")
+    salted = kept.join(F.broadcast(cells), "__cell").withColumn("__salt", F.pmod(spreading(F.col(id_col)), parts)).drop("__in_cell")
     # split rows for each cell and one for each `target` rows, at most.
     counts = salted.groupBy("__cell", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     inner = Window.partitionBy("__cell").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -262,6 +262,25 @@ def test_pipeline_edges(spark):
     assert all(ids[r[0]].decoded_sha256 == hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
 
 
+def test_spread(spark):
+    """A small table is dealt over all cores, a large one is read as it lies."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert queries.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and queries.spread(docs).count() == docs.count()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert queries.spread(docs) is docs
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_native_plans(spark):
+    """Rules and shards are worked out without Python."""
+    for make in (queries.op4_quality_rules, queries.op7_hilbert_shards):
+        plan = make(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
 def test_scratch(spark, tmp_path):
     """Tables go with the session; without a shared folder there is none on a cluster."""
     tmp = scratch.Scratch(spark, "here")
