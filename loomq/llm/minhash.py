@@ -266,8 +266,9 @@ def near_documents(spark: SparkSession, docs: DataFrame, threshold: float = 0.8,
     links = verified(dealt.where("rep <> m").select(F.col("m").alias("a"), F.col("rep").alias("b")), "first")
     comp = components(tmp, links, "first")
     # Buckets that still hold several components, in blocks.
-    marked = dealt.join(comp, dealt["rep"] == comp["node"], "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("comp"))
-    split = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "lo")
+    marked = tmp.save(dealt.join(comp, dealt["rep"] == comp["node"], "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("comp")), "marked")
+    tmp.drop("dealt")
+    split = tmp.save(marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "lo"), "split")
     rest = marked.join(split, "bucket").join(classes.select("rep", "bands"), "rep")
     # Members of the main component stay in their block; the others visit all blocks of the bucket.
     rest = rest.withColumn("main", F.col("comp") == F.col("lo")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
