@@ -42,10 +42,12 @@ def components(tmp: Scratch, links: DataFrame, name: str = "components") -> Data
         if open_.isEmpty():
             return now
         both = now.select(F.col("node").alias("u"), F.col("root").alias("v")).union(now.select("root", "node"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join's stage does nothing else and a root of very many nodes can be split.
+        least = tmp.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}least{turn}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         before, now = turn - 1, tmp.save(forest(small.distinct()), f"{name}{turn}")
         tmp.drop(f"{name}{before}")
+        tmp.drop(f"{name}least{turn}")
     raise RuntimeError("components did not settle")
