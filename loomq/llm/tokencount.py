@@ -45,7 +45,7 @@ def counter(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         many = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    _COUNTERS[path] = arrowtext.Memo(many)
+    _COUNTERS[path] = arrowtext.Memo(many, 64 << 20)
     return _COUNTERS[path]
 
 
